@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.pii import personal_data
 
@@ -76,7 +82,7 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Query]:
-    own = (op2_personal_data, op3_packing, op5_url_filter, op6_decontamination, op8_html_text, op9_quality, op10_token_output)
+    own = (op1_license_scan, op2_personal_data, op3_packing, op5_url_filter, op6_decontamination, op8_html_text, op9_quality, op10_token_output)
     return {f.__name__: f for f in own}
 
 
