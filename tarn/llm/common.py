@@ -1,6 +1,6 @@
 """Helpers of the corpus operators: shared folders, Arrow batches as flat byte arrays, word hashes.
 
-Texts are handled as UTF-8 bytes. A slice of a batch holds whole texts of about SLICE_BYTES, so that the numpy arrays
+Texts are handled as UTF-8 bytes. A slice of a batch holds whole texts of about SLICE_BYTES, SLICE_ROWS at most, so that the numpy arrays
 made from it stay small whatever the size of an Arrow batch is.
 """
 
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 U64 = np.uint64
 #: Odd multipliers of the rolling hashes and of the mixer.
 BASE, MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -89,7 +89,7 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -
         return
     sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(column)]
+    cuts = sorted({0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), *range(0, len(column), SLICE_ROWS), len(column)})
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a), column.slice(a, b - a)
 

@@ -38,6 +38,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.urls import filter_urls
 
@@ -82,7 +88,7 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_personal_data, op3_packing, op5_url_filter, op6_decontamination, op8_html_text, op9_quality, op10_token_output)
+    own = (op1_license_scan, op2_personal_data, op3_packing, op4_jaccard_join, op5_url_filter, op6_decontamination, op8_html_text, op9_quality, op10_token_output)
     return {f.__name__: f for f in own}
 
 
