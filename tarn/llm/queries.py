@@ -56,6 +56,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarn.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.html_blocks import extract
 
@@ -88,7 +94,7 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_personal_data, op3_packing, op4_jaccard_join, op5_url_filter, op6_decontamination, op8_html_text, op9_quality, op10_token_output)
+    own = (op1_license_scan, op2_personal_data, op3_packing, op4_jaccard_join, op5_url_filter, op6_decontamination, op7_repeated_strings, op8_html_text, op9_quality, op10_token_output)
     return {f.__name__: f for f in own}
 
 
