@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm.common import U64, Rolling, flat, keep, mixed, owners, slices, word_hashes, words
 from tarn.llm.components import components
@@ -433,3 +434,42 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     by_key = known.join(by_component, "b").select("key", "component")
     found = meta.where("n > 0").join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return found.unionAll(meta.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keyed(documents: DataFrame, n: int, name: str) -> DataFrame:
+    """The documents with the key of their shingle set in a column of that name."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, column in slices(batch):
+                keys = pa.array(set_keys(*shingle_sets(column, n)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, name])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema, T.StructField(name, T.LongType())]))
+
+
+def distinct_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, without those that link, directly or not, with one of a smaller doc_id.
+
+    Null ids count as the largest; of rows with one id the one with the least key of its set stays, and of rows that are
+    equal in both, one. Texts without shingles stay. What goes is named by (doc_id, key) and is broadcast only up to
+    BROADCAST_ROWS."""
+    meta, labels = linked(documents, n, percent)
+    sets = meta.where("n > 0").join(labels.withColumnRenamed("a", "key"), "key", "left").select("doc_id", "key", F.coalesce("b", "key").alias("label"))
+    ranked = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    stays = sets.groupBy("label").agg(F.min(ranked).alias("s")).select(F.col("s.doc_id").alias("sd"), F.col("s.key").alias("sk"))
+    pairs = sets.select("doc_id", "key").distinct()
+    goes = keep(pairs.join(stays, pairs.doc_id.eqNullSafe(stays.sd) & (pairs.key == stays.sk), "left_anti"), "goes")
+    again = keep(meta.where("n > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "key"), "again")
+    name = next(x for i in range(len(documents.columns) + 1) if (x := f"set_key_{i}") not in documents.columns)
+    marked = keyed(documents, n, name)
+
+    def matched(names: DataFrame, how: str, frame: DataFrame) -> DataFrame:
+        names = names.toDF("match_id", "match_key")
+        names = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+        return frame.join(names, frame.doc_id.cast("long").eqNullSafe(F.col("match_id")) & (frame[name] == F.col("match_key")), how)
+
+    out = matched(goes, "left_anti", marked)
+    if not again.isEmpty():
+        out = matched(again, "left_anti", out).unionAll(matched(again, "left_semi", out).dropDuplicates(["doc_id", name]))
+    return out.drop(name)

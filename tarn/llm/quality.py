@@ -102,3 +102,14 @@ def quality(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[n]) for n in names)], names=[*carry, *names])
 
     return documents.select(*dict.fromkeys((*carry, "text"))).mapInArrow(run, schema)
+
+
+def kept_documents(documents: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that the rules keep."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, column in slices(batch):
+                yield part.filter(pa.array(measured(column)["kept"]))
+
+    return documents.mapInArrow(run, documents.schema)
