@@ -77,8 +77,10 @@ class Field:
 
     def __init__(self, name: str, data: Column, value: Column):
         self.name, self.data = name, data
-        quoted = name.replace("\\", "\\\\").replace('"', '\\"')
-        self.x = F.variant_get(value, f'$["{quoted}"]', "variant")
+        if '"' in name or "\\" in name:  # no path can name it
+            self.x = F.element_at(F.try_variant_get(value, "$", "map<string,variant>"), name)
+        else:
+            self.x = F.variant_get(value, f'$["{name}"]', "variant")
         self.exists = self.x.isNotNull()
         kind = F.schema_of_variant(self.x)
         self.is_string, self.is_bool = kind == "STRING", kind == "BOOLEAN"
@@ -121,7 +123,8 @@ class Field:
 
     def keys(self, nested: bool = False) -> list[Column]:
         """Columns whose order is the values' order: rank, number, integer, string, and the text of lists and objects if asked for."""
-        return [self.rank(), self.number, self.integer, self.string, *([self.text()] if nested else [])]
+        exact = F.coalesce(self.integer, F.when(F.abs(self.number) < float(1 << 63), self.number.try_cast("bigint")))
+        return [self.rank(), self.number, exact, self.string, *([self.text()] if nested else [])]
 
     def equals(self, other: object) -> Column:
         kind = rank(other)
