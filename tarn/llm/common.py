@@ -6,7 +6,9 @@ made from it stay small whatever the size of an Arrow batch is.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 U64 = np.uint64
 #: Odd multipliers of the rolling hashes and of the mixer.
 BASE, MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -77,6 +79,13 @@ def read_file(uri: str) -> memoryview:
         return memoryview(f.read_buffer())
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a worker lives through many tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as strings; null is an empty text."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)).cast(pa.large_string()), "")
@@ -92,6 +101,7 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -
     cuts = sorted({0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), *range(0, len(column), SLICE_ROWS), len(column)})
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a), column.slice(a, b - a)
+    release()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

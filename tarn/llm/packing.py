@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import slices
-from tarn.llm.tokens import encoder
+from tarn.llm.tokens import ENCODE_BYTES, encoder
 
 WINDOW, PIECE, BLOCK, END_ID = 1024, 256, 3000, 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -112,7 +112,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, piece: int
             return rows(out)
 
         for batch in batches:
-            for part, column in slices(batch):
+            for part, column in slices(batch, most=ENCODE_BYTES):
                 ids, starts = code.encode(column)
                 whole = []
                 for doc, a, b in zip(part.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):

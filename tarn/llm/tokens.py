@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from tarn.llm.common import flat, read_file, shared_folder, slices, write_file
 
 CACHE_PIECES = 500_000
+#: Texts are encoded so many bytes at a time: a larger slice repeats more of its pieces.
+ENCODE_BYTES = 4 << 20
 MAGIC = b"TARNIDS1"
 #: Every how many ones the place of a one is sampled.
 SAMPLE = 256
@@ -210,7 +212,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int, folder: str)
         code, number = encoder(tokenizer), TaskContext.get().partitionId()
         names, lengths, parts = [], [], []
         for batch in batches:
-            for part, column in slices(batch):
+            for part, column in slices(batch, most=ENCODE_BYTES):
                 ids, starts = code.encode(column)
                 names += part.column(0).to_pylist()
                 lengths.append(np.diff(starts) + 1)
