@@ -4,6 +4,8 @@ Jaccard distance is a metric, but unrelated texts all lie at a distance of nearl
 bound parts them. So the join first cuts the collection into regions that lose no pair, and joins each by pivots:
 
 1. Equal sets count once, by a 64-bit key of the set (two of 10^9 different sets share a key with probability 0.03).
+   A set with more shingles of its own, that no other set has, than a partner may lack has no partner and is put aside:
+   first by a count over a share of all shingles, which is a lower bound, then among the sets that are left.
 2. Two sets with similarity s differ in at most (1-s)/(1+s) of their joint size. Shingles are dealt by hash to so many
    segments, for a class of set sizes, that a pair must agree in several whole segments (pigeonhole). Each set emits a
    signature of its segments, without the smallest as long as a pair is bound to agree in another one. Sets that share a
@@ -34,11 +36,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import U64, Rolling, flat, keep, mixed, owners, slices, word_hashes, words
+from tarn.llm.common import U64, Rolling, flat, keep, mixed, owners, repeated, slices, word_hashes, words
 from tarn.llm.components import components
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -46,7 +48,9 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 SHINGLE_BITS = 51
 #: Ratio of set sizes in a class; spare segments by required ones; the largest segment that may be left out.
 CLASS_RATIO, SPARE, LARGEST_WEAK = 1.4, 0.5, 4
-FLUSH = 1 << 20
+FLUSH, SEEN = 1 << 20, 1 << 20
+#: The share of all shingles in which own ones are counted first, and how often the rest is counted anew.
+SHARE, ROUNDS = 0.375, 3
 MAX_SETS, MAX_ELEMENTS, LEAF, PIVOTS = 20_000, 4_000_000, 16, 16
 #: So many member ids are broadcast at most (16 MB); beyond that the members are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -248,13 +252,146 @@ def described(documents: DataFrame, n: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, n long, key long")
 
 
-def signature_edges(documents: DataFrame, n: int, percent: int) -> DataFrame:
+def sets_of(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(shingles, where, keys) of a batch's texts, or of its sets where it has them already."""
+    if "shingles" in batch.schema.names:
+        column = batch.column(batch.schema.get_field_index("shingles"))
+        where = column.offsets.to_numpy()
+        yield column.values.to_numpy()[where[0] : where[-1]], where - where[0], batch.column(batch.schema.get_field_index("key")).to_numpy().view(U64)
+        return
+    for _, column in slices(batch):
+        shingles, where = shingle_sets(column, n)
+        yield shingles, where, set_keys(shingles, where)
+
+
+def only(shingles: np.ndarray, where: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of some sets."""
+    sizes = np.diff(where)[sets]
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(where[sets] - ends + sizes, sizes)
+    return shingles[at], np.r_[0, ends]
+
+
+def parts_of(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The sets of a task, equal ones once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for shingles, where, keys in sets_of(batch, n):
+            fresh = []
+            for i, k in enumerate(keys.tolist()):
+                if k not in seen:
+                    seen.add(k)
+                    fresh.append(i)
+            if fresh:
+                yield *only(shingles, where, np.array(fresh)), keys[fresh]
+            if len(seen) > SEEN:
+                seen.clear()
+
+
+def partitions(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def own_shingles(frame: DataFrame, n: int, share: float) -> DataFrame:
+    """key and own: how many of a set's shingles no other set has, among the given share of all shingles (by hash).
+
+    Shingles travel as 32 bits within a bucket; two that coincide there count as shared, which only keeps sets in."""
+    buckets = partitions(frame)
+    schema = "bucket long, keys binary, counts binary, shingles binary"
+    names = ["bucket", "keys", "counts", "shingles"]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=names)
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, spread, of, base = [], [], [], 0
+            for k, s, o in held:
+                keys.append(k)
+                spread.append(s)
+                of.append(o + base)
+                base += len(k)
+            held.clear()
+            keys, spread, of = np.concatenate(keys), np.concatenate(spread), np.concatenate(of)
+            bucket = (spread % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                at = order[cuts[b] : cuts[b + 1]]
+                start = np.flatnonzero(np.r_[True, np.diff(of[at]) != 0])
+                counts = np.diff(np.r_[start, len(at)])
+                rows.append((b, keys[of[at[start]]].tobytes(), counts.astype("<u4").tobytes(), (spread[at] >> U64(32)).astype("<u4").tobytes()))
+            return as_batch(rows)
+
+        size = 0
+        for shingles, where, keys in parts_of(batches, n):
+            spread = mixed(shingles.astype(U64) ^ U64(0x3C3C))
+            take = (mixed(spread) >> U64(48)).astype(np.int64) < int(share * (1 << 16))
+            held.append((keys, spread[take], owners(where)[take]))
+            size += len(held[-1][1])
+            if size > FLUSH:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, marks = [], [], []
+        for batch in batches:
+            for into, column, kind in zip((keys, counts, marks), batch.columns[1:], (U64, "<u4", "<u4"), strict=True):
+                into += [np.frombuffer(x, kind) for x in column.to_pylist()]
+        if not keys:
+            return
+        keys, counts, marks = np.concatenate(keys), np.concatenate(counts).astype(np.int64), np.concatenate(marks).astype(U64)
+        begin = np.cumsum(counts) - counts
+        own = ~repeated(marks)
+        # a shingle that comes again only with copies of its set from other tasks is still the set's own: it counts once
+        again = np.flatnonzero(~own)
+        key_of = np.repeat(np.arange(len(keys)), counts)[again]
+        order = np.lexsort((keys[key_of], marks[again]))
+        mark, key = marks[again][order], keys[key_of][order]
+        first = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]) if len(mark) else np.zeros(0, np.int64)
+        if len(first):
+            same = np.minimum.reduceat(key, first) == np.maximum.reduceat(key, first)
+            own[again[order[first[same]]]] = True
+        sums = np.add.reduceat(own, begin, dtype=np.int64)
+        some = np.flatnonzero(sums)
+        keys, sums = keys[some], sums[some]
+        home = (mixed(keys) % U64(buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        cuts = np.searchsorted(home[order], np.arange(buckets + 1))
+        rows = [(b, keys[order[cuts[b] : cuts[b + 1]]].tobytes(), sums[order[cuts[b] : cuts[b + 1]]].astype("<u4").tobytes(), b"") for b in np.flatnonzero(np.diff(cuts)).tolist()]
+        if rows:
+            yield as_batch(rows)
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = [], []
+        for batch in batches:
+            keys += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            sums += [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
+        if keys:
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(at, weights=np.concatenate(sums)).astype(np.int64))], names=["key", "own"])
+
+    blocks = frame.mapInArrow(emit, schema).repartition(buckets, "bucket").mapInArrow(alone, schema)
+    return blocks.repartition(buckets, "bucket").mapInArrow(total, "key long, own long")
+
+
+def may_match(sizes: DataFrame, own: DataFrame, size: Column, percent: int) -> DataFrame:
+    """Of the sets, those that have few enough shingles of their own for a partner."""
+    own = own.groupBy("key").agg(F.sum("own").alias("own"))
+    return sizes.join(own, "key", "left").where(100 * (size - F.coalesce("own", F.lit(0))) >= percent * size).drop("own")
+
+
+def signature_edges(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): keys of sets that share a signature, b the least of those that do."""
-    buckets = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * partitions(sets)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
             sign, key = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -263,29 +400,14 @@ def signature_edges(documents: DataFrame, n: int, percent: int) -> DataFrame:
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = [(b, sign[o].tobytes(), key[o].tobytes()) for b in range(buckets) if len(o := order[cuts[b] : cuts[b + 1]])]
             held.clear()
-            seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "sign", "key"])
 
-        for batch in batches:
-            for _, column in slices(batch):
-                shingles, where = shingle_sets(column, n)
-                keys = set_keys(shingles, where)
-                # copies within a task emit once
-                fresh = []
-                for i, k in enumerate(keys.tolist()):
-                    if k not in seen:
-                        seen.add(k)
-                        fresh.append(i)
-                if len(fresh) < len(keys):
-                    sizes = np.diff(where)[fresh]
-                    ends = np.cumsum(sizes)
-                    shingles = shingles[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(where[fresh] - ends + sizes, sizes)]
-                    where, keys = np.r_[0, ends], keys[fresh]
-                sign, key = signatures(shingles, where, keys, percent)
-                if len(sign):
-                    held.append((sign, key))
-                if sum(len(s) for s, _ in held) > FLUSH:
-                    yield flush()
+        for shingles, where, keys in parts_of(batches, 0):
+            sign, key = signatures(shingles, where, keys, percent)
+            if len(sign):
+                held.append((sign, key))
+            if sum(len(s) for s, _ in held) > FLUSH:
+                yield flush()
         if held:
             yield flush()
 
@@ -307,25 +429,25 @@ def signature_edges(documents: DataFrame, n: int, percent: int) -> DataFrame:
         for at in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
 
-    blocks = documents.mapInArrow(emit, "bucket long, sign binary, key binary")
+    blocks = sets.mapInArrow(emit, "bucket long, sign binary, key binary")
     return blocks.repartition(buckets // 4, "bucket").mapInArrow(meet, "a long, b long")
 
 
 def member_sets(documents: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """region, key and shingles of every member (doc_id, key, region), from its text."""
+    """key and shingles of every member (doc_id, key), from its text."""
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
-    chosen = documents.join(members.withColumnRenamed("doc_id", "d"), documents.doc_id.eqNullSafe(F.col("d"))).select("region", "key", "text")
+    chosen = documents.join(members.withColumnRenamed("doc_id", "d"), documents.doc_id.eqNullSafe(F.col("d"))).select("key", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, column in slices(batch):
                 shingles, where = shingle_sets(column, n)
-                right = np.flatnonzero(set_keys(shingles, where).view(np.int64) == part.column(1).to_numpy())
-                sets = [shingles[where[i] : where[i + 1]] for i in right.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(right)), part.column(1).take(pa.array(right)), pa.array(sets, pa.list_(pa.int64()))], names=["region", "key", "shingles"])
+                right = np.flatnonzero(set_keys(shingles, where).view(np.int64) == part.column(0).to_numpy())
+                own, ends = only(shingles, where, right)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(right)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own))], names=["key", "shingles"])
 
-    return chosen.mapInArrow(run, "region long, key long, shingles array<long>")
+    return chosen.mapInArrow(run, "key long, shingles array<long>")
 
 
 def joined_regions(sets: DataFrame, percent: int) -> DataFrame:
@@ -397,9 +519,17 @@ def linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     """(doc_id, n, key of every row; key and least key of its component, of the sets that have links)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     meta = keep(described(rows, n), "sets")
-    regions = components(signature_edges(rows, n, percent))
-    members = meta.join(regions.withColumnsRenamed({"node": "key", "label": "region"}), "key").groupBy("key", "region").agg(F.min("doc_id").alias("doc_id"))
-    sets = keep(member_sets(rows, keep(members.select("doc_id", "key", "region"), "members"), n), "members")
+    sizes = meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("size"))
+    members = keep(may_match(sizes, own_shingles(rows, n, SHARE), F.col("size"), percent).select("doc_id", "key"), "members")
+    sets = keep(member_sets(rows, members, n), "members")
+    left = sets.count()
+    for _ in range(ROUNDS):  # what only the sets put aside shared is now a set's own
+        sets = keep(may_match(sets, own_shingles(sets, n, 1.0), F.size("shingles"), percent).dropDuplicates(["key"]), "members")
+        before, left = left, sets.count()
+        if left > 0.9 * before:
+            break
+    regions = components(signature_edges(sets, percent)).withColumnsRenamed({"node": "key", "label": "region"})
+    sets = keep(sets.join(regions, "key").select("region", "key", "shingles"), "members")
     large = oversize(sets)
     if large.isEmpty():
         return meta, joined_regions(sets, percent)
