@@ -20,10 +20,10 @@ BASE = T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t
 
 
 class OpLog:
-    """The commits of one log. `extra` are columns beside the base ones."""
+    """The commits of one log. `extra` are columns beside the base ones; a file holds at most `rows_per_file` rows (0: any)."""
 
-    def __init__(self, spark: SparkSession, root: str, extra: tuple[tuple[str, T.DataType], ...] = ()):
-        self.spark, self.root, self.versions = spark, root, Versions(spark, root)
+    def __init__(self, spark: SparkSession, root: str, extra: tuple[tuple[str, T.DataType], ...] = (), rows_per_file: int = 0):
+        self.spark, self.root, self.versions, self.rows_per_file = spark, root, Versions(spark, root), rows_per_file
         self.schema = T.StructType([*BASE.fields, *(T.StructField(n, t) for n, t in extra)])
 
     def folders(self) -> list[dict]:
@@ -35,7 +35,7 @@ class OpLog:
 
     def _write(self, frame: DataFrame) -> tuple[str, int]:
         folder = f"commit-{uuid.uuid4().hex}"
-        frame.write.parquet(self.versions.files.at(folder))
+        frame.write.option("maxRecordsPerFile", self.rows_per_file).parquet(self.versions.files.at(folder))
         return folder, self.spark.read.schema(self.schema).parquet(self.versions.files.at(folder)).count()
 
     def append(self, frame: DataFrame, order: tuple[Column | str, ...] = ()) -> int:

@@ -67,14 +67,16 @@ def read_json_lines(spark: SparkSession, path: str, first_ms: int) -> tuple[Data
     return with_new_ids(enveloped(lines.where(good)).select("id", "data"), first_ms), bad
 
 
-def read_framed_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good: file, line, op, id, data; bad: file, line, error) of framed log files; lines count from 0 within a file."""
+def read_framed_log(spark: SparkSession, path: str, payload: str = "data") -> tuple[DataFrame, DataFrame]:
+    """(good: file, line, op, id, data, done, ts; bad: file, line, error) of framed log files; lines count from 0 within a
+    file. A queue's events have their data under "payload", and done and ts; those are null in other logs."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     framed = whole.where("value <> ''").withColumn("body", unframed_column(F.col("value")))
     value = F.try_parse_json("body")
     framed = framed.withColumns({"op": F.try_variant_get(value, "$.op", "string"), "id": F.try_variant_get(value, "$.id", "string")})
     fine = F.col("body").isNotNull() & F.col("op").isNotNull() & F.col("id").isNotNull()
-    good = framed.where(fine).select("file", "line", "op", "id", member(F.col("body"), "data").alias("data"))
+    more = [F.try_variant_get(value, "$.done", "boolean").alias("done"), F.try_variant_get(value, "$.ts", "bigint").alias("ts")]
+    good = framed.where(fine).select("file", "line", "op", "id", member(F.col("body"), payload).alias("data"), *more)
     error = F.when(F.col("body").isNull(), "broken frame").otherwise("no op or id")
     return good, framed.where(~fine).select("file", "line", error.alias("error"))
 

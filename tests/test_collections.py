@@ -13,7 +13,8 @@ from tarn.operators.schema import Schema, SchemaError
 from tarn.plans.cache import FrameCache, MemoryCache, NullCache
 from tarn.plans.collections import DocumentStore, EventLog
 from tarn.sources import records
-from tarn.sources.store import StoreError, Versions, namespace
+from tarn.plans.oplog import OpLog
+from tarn.sources.store import StoreError, Versions, namespace, partition_folder
 
 
 def made(i, ms=1_700_000_000_000):
@@ -144,6 +145,10 @@ def test_framed_log(spark, tmp_path):
     log = EventLog(spark, str(tmp_path / "l"))
     assert log.import_framed(records.before_first_bad(good, bad)) == 3
     assert [d["n"] for _, d in contents(log.stream())] == [0, 1, 2]
+    event = frames.frame(json.dumps({"op": "complete", "id": made(1), "payload": {"a": 1.0}, "done": True, "ts": 7}))
+    (tmp_path / "queue").write_text(event)
+    row = records.read_framed_log(spark, str(tmp_path / "queue"), "payload")[0].first()
+    assert (row.op, row.data, row.done, row.ts) == ("complete", '{"a":1.0}', True, 7)
     assert frames.unframe(lines[0]) and frames.unframe("5\tx\t{}") is None and frames.unframe("no frame") is None
 
 
@@ -165,6 +170,16 @@ def test_versions_do_not_overwrite_each_other(spark, tmp_path):
     assert v.latest() == (1, {"x": 1}) and namespace("a b//c..") == "a-b-c" and namespace("/") == "runtime-storage"
 
 
+def test_files_hold_so_many_rows(spark, tmp_path):
+    log = OpLog(spark, str(tmp_path / "o"), rows_per_file=4)
+    log.append(spark.createDataFrame([("put", made(i), "{}") for i in range(10)], "op string, id string, data string").coalesce(1))
+    zones = sorted((r.least, r.greatest, r.n) for r in log.zones().collect())
+    assert [n for *_, n in zones] == [4, 4, 2] and zones[0][:2] == (made(0), made(3))
+    assert partition_folder(1_700_000_000_000, "daily") == "2023-11-14" and partition_folder(1_700_000_000_000, "monthly") == "2023-11"
+    with pytest.raises(ValueError):
+        partition_folder(0, "weekly")
+
+
 def test_commands(spark, tmp_path):
     DocumentStore(spark, f"{tmp_path}/default").put({"a": 1}, made(1))
     assert run(spark, "stats", str(tmp_path))["records"] == 1 and run(spark, "verify", str(tmp_path))["ok"]
