@@ -36,7 +36,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tarn-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is the default file system's
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
@@ -67,7 +68,12 @@ def write_file(uri: str, payload: bytes) -> None:
     part = f"{path}.{uuid.uuid4().hex}"
     with files.open_output_stream(part) as out:
         out.write(payload)
-    files.move(part, path)
+    try:
+        files.move(part, path)
+    except OSError:  # a store that does not move onto a file: the other attempt's is whole and the same
+        if files.get_file_info(path).type.name == "NotFound":
+            raise
+        files.delete_file(part)
 
 
 def read_file(uri: str) -> memoryview:

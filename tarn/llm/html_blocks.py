@@ -30,13 +30,14 @@ BLOCK = set(
 )
 HOLDERS = BLOCK - set("br hr p dd dt li option tr td th h1 h2 h3 h4 h5 h6".split()) | {"span"}
 AWAY = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
-#: Words of class, id and role names that mark what is not the article.
+#: Words of class, id and role names that mark what is not the article; those of WRAPPING may also stand on what is around it.
 HINTS = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus sidebar "
-    "side aside widget widgets related recommended recommendations trending menu nav navbar navigation breadcrumb breadcrumbs footer header masthead "
-    "topbar share sharing social search form toolbar pagination pager tags legal copyright disclaimer hidden skip complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr "
+    "popup modal newsletter subscribe subscription comment comments commentlist reply replies respond disqus sidebar "
+    "related recommended recommendations trending nav navbar navigation breadcrumb breadcrumbs footer "
+    "share sharing pagination pager complementary contentinfo".split()
 )
+WRAPPING = set("notice notices alert overlay signup login side aside widget widgets menu header masthead topbar social search form toolbar tags legal copyright disclaimer hidden skip".split())
 TAG = re.compile(
     rf"<!--(?:.*?--!?>|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<({'|'.join(SILENT)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(?:/?[a-z]|[!?/])[^>]*(?:>|$)",
@@ -55,19 +56,22 @@ class Block(NamedTuple):
     heading: bool
 
 
-def marked(attributes: str) -> bool:
-    """Whether an element's names or state set it apart from the article."""
+def marked(attributes: str) -> int:
+    """Whether an element's names or state set it apart from the article: 2 for good, 1 unless the article is inside it."""
     if not attributes.strip():
-        return False
-    names = " ".join(a or b or c for a, b, c in MARK.findall(attributes))
-    return not HINTS.isdisjoint(re.split(r"[^a-z]+", names.lower())) or bool(UNSEEN.search(attributes))
+        return 0
+    names = set(re.split(r"[^a-z]+", " ".join(a or b or c for a, b, c in MARK.findall(attributes)).lower()))
+    if not HINTS.isdisjoint(names) or UNSEEN.search(attributes):
+        return 2
+    return int(not WRAPPING.isdisjoint(names))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's flat text blocks in order."""
     found: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []  # open holders: name, inside the article, set apart
-    inside = away = heading = link = has_article = False
+    stack: list[tuple[str, bool, int]] = []  # open holders: name, inside the article, set apart
+    inside = heading = link = has_article = False
+    away = 0
     pieces: list[str] = []
     linked: list[str] = []
     at = 0
@@ -99,11 +103,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if not tag[2]:
             stack.append((name, inside, away))
-            apart = marked(tag[4])
-            article = name in ("article", "main") and not apart
-            has_article = has_article or article
-            inside = inside or article
-            away = away or apart or name in AWAY or (name == "header" and not inside)
+            apart = marked(tag[4]) if name not in ("html", "body") else 0
+            article = name in ("article", "main") and not apart and away < 2
+            has_article, inside = has_article or article, inside or article
+            away = 0 if article else max(away, apart, 2 * (name in AWAY), int(name == "header" and not inside))
         elif any(n == name for n, _, _ in stack):
             while True:
                 opened, inside, away = stack.pop()
@@ -112,7 +115,7 @@ def blocks(page: str) -> list[Block]:
     if at < len(page):
         pieces.append(page[at:])
     flush()
-    return [Block(t, w, x, (1 if i else -1) if has_article else 0, a, h) for t, w, x, i, a, h in found]
+    return [Block(t, w, x, (1 if i else -1) if has_article else 0, a > 0, h) for t, w, x, i, a, h in found]
 
 
 def features(run: list[Block]) -> np.ndarray:

@@ -51,6 +51,12 @@ def test_page_parts():
     assert main_text([plain]) == [("long text " * 30 + "more text " * 20).strip()]
 
 
+def test_names_around_the_article():
+    page = "<body class='header-fixed search'><div class='with-side menu-open'><main><p>kept text<p>more</main><div class=comments><article>a reader</article></div></div>"
+    assert main_text([page]) == ["kept text more"]
+    assert main_text(["<article><p>one<div class='notice'>told</div><p>two</article>"]) == ["one two"]
+
+
 def test_odd_pages(spark):
     odd = [None, "", "   ", "<p>", "<!-- never closed", "<script>x", "a < b", "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000, "<article>1 < 2 &amp;amp; 3</article>", "<article><p>x</article", "<article><p title='>'>q" + " w" * 50_000]
     pages = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate([*odd, odd[8]])], "page_id long, url string, html string, text string")
