@@ -7,8 +7,8 @@ A byte is removed if some string of LENGTH bytes that covers it also starts earl
    fragments whose minimizers are equal, so fragments are dealt by their minimizer and no pair of windows is parted.
 2. Of fragments that are equal as a whole, all but the first are removed whole. A minimizer that is left with one
    fragment is done; that settles most of the text. Each task does so for its own fragments before it sends them on.
-3. The bytes of the other fragments are fetched from the texts, and those go on whose half beside the minimizer occurs
-   twice. Each batch of them is indexed as a collection: starting from the empty suffixes, each round puts one more symbol
+3. The bytes of the other fragments are fetched from the texts and cut to what, to either side of the minimizer, occurs
+   twice; those in which a window still fits go on. Each batch of them is indexed as a collection: starting from the empty suffixes, each round puts one more symbol
    before every fragment's suffix, from its last byte to its first. The new suffixes' places follow from the ranks of their
    symbols in the collection's Burrows-Wheeler transform, and the common prefix with their neighbours from the least one
    between two occurrences of the symbol. Transform and common prefixes live in two files that are read and written from
@@ -41,6 +41,8 @@ from tarn.llm.common import MIX_A, U64, Rolling, filesystem, flat, keep, mixed,
 
 LENGTH, SEED = 100, 32
 PIECE, FLUSH, BATCH, MOST = 1 << 20, 1 << 20, 30_000, 20_000
+#: The step in which a fragment's reach beside its minimizer is told.
+STEP = 4
 PLACE_BITS = U64(24)
 BYTE_HASH = mixed(np.arange(1, 257, dtype=U64) * MIX_A)
 #: Columns of the blocks: fragments by minimizer, fragments to fetch, fragments with their bytes, windows, removed spans.
@@ -265,18 +267,28 @@ class Collection:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
+def reach(rolling: Rolling, seed: np.ndarray, room: np.ndarray, side: int) -> np.ndarray:
+    """How far beside each fragment's minimizer another one may be equal: the bytes up to the first step at which none is."""
+    out, alive = np.full(len(seed), STEP - 1), np.arange(len(seed))
+    for far in range(STEP, LENGTH - SEED + STEP, STEP):
+        alive = alive[room[alive] >= far]
+        at = seed[alive]
+        alive = alive[repeated(rolling.spans(at - far, at + SEED) if side < 0 else rolling.spans(at, at + SEED + far))]
+        out[alive] = far + STEP - 1
+    return np.minimum(out, room)
+
+
 def equal_windows(columns: Columns, content: np.ndarray, folder: str) -> Columns:
     """The removed spans among fragments that share minimizers."""
-    sizes = columns["size"].astype(np.int64)
+    sizes, seed = columns["size"].astype(np.int64), columns["at"].astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     rolling = Rolling(BYTE_HASH[content])
-    half = (LENGTH - SEED) // 2
-    keep_on = np.zeros(len(sizes), bool)
-    for low, high in ((-half, SEED), (0, SEED + half)):  # a window holds one of these around its minimizer
-        first, last = columns["at"].astype(np.int64) + low, columns["at"].astype(np.int64) + high
-        inside = np.flatnonzero((first >= 0) & (last <= sizes))
-        keep_on[inside] |= repeated(rolling.spans(begin[inside] + first[inside], begin[inside] + last[inside]))
-    at = np.flatnonzero(keep_on)
+    # a fragment is cut to what may be equal elsewhere, and goes on if a window fits
+    left = reach(rolling, begin + seed, seed, -1)
+    right = reach(rolling, begin + seed, sizes - seed - SEED, 1)
+    begin, sizes = begin + seed - left, left + SEED + right
+    starts = columns["start"].astype(np.int64) + seed - left
+    at = np.flatnonzero(sizes >= LENGTH)
     at = at[np.argsort(columns["m"][at], kind="stable")]
     out = []
     while len(at):
@@ -286,7 +298,7 @@ def equal_windows(columns: Columns, content: np.ndarray, folder: str) -> Columns
         ends = np.cumsum(sizes[own])
         part = content[np.arange(ends[-1]) + np.repeat(begin[own] - ends + sizes[own], sizes[own])]
         group, string, place = Collection(part, sizes[own], folder).windows(LENGTH)
-        found = {"row": columns["row"][own][string], "start": columns["start"][own][string].astype(np.int64) + place}
+        found = {"row": columns["row"][own][string], "start": starts[own][string] + place}
         order, same = later([group], found)
         out.append(as_spans(taken(found, order[same]), LENGTH))
     return stacked(out) if out else {"row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)}
