@@ -72,19 +72,23 @@ def _nested(name: str, shape) -> Column:
     return F.pandas_udf(texts, "string")
 
 
+def member(value: Column, name: str) -> Column:
+    """The top-level field of a parsed object, as a variant."""
+    if '"' in name or "\\" in name:  # no path can name it
+        return F.element_at(F.try_variant_get(value, "$", "map<string,variant>"), name)
+    return F.variant_get(value, f'$["{name}"]', "variant")
+
+
 class Field:
-    """The Columns of a top-level field of the JSON text in `data`, parsed in `value`."""
+    """The Columns of a top-level field of the JSON text in `data`; x is the field and kind its schema, if they are at hand."""
 
-    def __init__(self, name: str, data: Column, value: Column):
+    def __init__(self, name: str, data: Column, x: Column | None = None, kind: Column | None = None):
         self.name, self.data = name, data
-        if '"' in name or "\\" in name:  # no path can name it
-            self.x = F.element_at(F.try_variant_get(value, "$", "map<string,variant>"), name)
-        else:
-            self.x = F.variant_get(value, f'$["{name}"]', "variant")
+        self.x = member(F.parse_json(data), name) if x is None else x
         self.exists = self.x.isNotNull()
-        kind = F.schema_of_variant(self.x)
+        kind = F.schema_of_variant(self.x) if kind is None else kind
         self.is_string, self.is_bool = kind == "STRING", kind == "BOOLEAN"
-        self.is_int, self.is_float = kind == "BIGINT", kind.rlike(r"^(DECIMAL|DOUBLE|FLOAT)")
+        self.is_int, self.is_float = kind == "BIGINT", kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
         self.is_null = self.exists & (kind == "VOID")
         self.is_list, self.is_object = kind.startswith("ARRAY"), kind.startswith("OBJECT")
 
@@ -164,3 +168,15 @@ class Field:
             alike = F.lit(False)
         mine = self.rank()
         return self.exists & (ranks(mine, F.lit(kind)) | ((mine == kind) & F.coalesce(alike, F.lit(False))))
+
+
+def with_fields(names: list[str], data: Column, build) -> Column:
+    """build(fields by name) with the text parsed, and each field taken and described, once a row.
+
+    A filter evaluates what it repeats; binding the parsed value to a lambda's argument does not. Functions in Python
+    cannot stand in a lambda."""
+    parsed = F.array(F.parse_json(data))
+    taken = F.transform(parsed, lambda v: F.struct(*[member(v, n).alias(f"x{i}") for i, n in enumerate(names)]))
+    kinds = F.transform(taken, lambda s: F.struct(s.alias("s"), *[F.schema_of_variant(s[f"x{i}"]).alias(f"k{i}") for i in range(len(names))]))
+    found = F.transform(kinds, lambda b: build({n: Field(n, data, b["s"][f"x{i}"], b[f"k{i}"]) for i, n in enumerate(names)}))
+    return F.get(found, F.lit(0))

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions import values
-from tarn.functions.values import FALSE, LIST, MISSING, NULL, NUMBER, OBJECT, STRING, TRUE, Field, compare, identical, rank
+from tarn.functions.values import FALSE, LIST, MISSING, NULL, NUMBER, OBJECT, STRING, TRUE, Field, compare, identical, rank, with_fields
 
 OPERATORS = ("eq", "neq", "in", "not_in", "gt", "gte", "lt", "lte", "between", "exists", "missing", "prefix")
 
@@ -139,8 +138,18 @@ def typed_condition(condition: Condition, x: Column, kind: T.DataType) -> Column
 
 def condition_column(frame: DataFrame, condition: Condition, mode: str) -> Column:
     """A condition on a frame of typed columns, or of id and data (JSON text)."""
-    if mode == "json" and condition.field != "id":
-        return json_condition(condition, Field(condition.field, F.col("data"), F.parse_json("data")))
+    return groups_column(frame, ((condition,),), mode)
+
+
+def needs_python(condition: Condition) -> bool:
+    """Whether a JSON condition compares lists or objects."""
+    wanted = condition.value if condition.operator in ("in", "not_in", "between") else (condition.value,)
+    return condition.operator not in ("exists", "missing", "prefix") and any(rank(w) in (LIST, OBJECT) for w in wanted)
+
+
+def _column(frame: DataFrame, condition: Condition, fields: dict[str, Field] | None) -> Column:
+    if fields is not None and condition.field != "id":
+        return json_condition(condition, fields[condition.field])
     if condition.field not in frame.columns:  # a typed frame lacks the field altogether
         return F.lit(condition.operator in ("neq", "not_in", "missing"))
     return typed_condition(condition, frame[condition.field], frame.schema[condition.field].dataType)
@@ -148,14 +157,27 @@ def condition_column(frame: DataFrame, condition: Condition, mode: str) -> Colum
 
 def groups_column(frame: DataFrame, groups: Groups, mode: str) -> Column:
     """Any group of which all conditions hold; a group without conditions holds."""
-    parts = [reduce(lambda a, b: a & b, [condition_column(frame, c, mode) for c in g]) if g else F.lit(True) for g in groups]
-    return reduce(lambda a, b: a | b, parts)
+
+    def build(fields: dict[str, Field] | None) -> Column:
+        parts = [reduce(lambda a, b: a & b, [_column(frame, c, fields) for c in g]) if g else F.lit(True) for g in groups]
+        return reduce(lambda a, b: a | b, parts)
+
+    conditions = [c for g in groups for c in g if c.field != "id"]
+    if mode != "json":
+        return build(None)
+    names = list(dict.fromkeys(c.field for c in conditions))
+    if not names or any(map(needs_python, conditions)):
+        return build({n: Field(n, F.col("data")) for n in names})
+    shared = [c for c in groups[0] if c.field == "id" and all(c in g for g in groups)]
+    found = with_fields(names, F.col("data"), build)
+    # what every alternative asks of the id stands beside the rest, where the scan can see it
+    return reduce(lambda a, b: a & b, [*(_column(frame, c, None) for c in shared), found])
 
 
 def order_columns(frame: DataFrame, field: str, mode: str) -> list[Column]:
     """Columns whose ascending order is the field's."""
     if mode == "json" and field != "id":
-        return Field(field, F.col("data"), F.parse_json("data")).keys(nested=True)
+        return Field(field, F.col("data")).keys(nested=True)
     if field not in frame.columns:
         return [F.lit(NULL)]
     mine = type_rank(frame.schema[field].dataType)
@@ -165,4 +187,4 @@ def order_columns(frame: DataFrame, field: str, mode: str) -> list[Column]:
     return [F.when(x.isNull(), NULL).otherwise(mine), x]
 
 
-__all__ = ["Condition", "Groups", "QueryError", "condition_column", "groups_column", "matches", "order_columns", "values"]
+__all__ = ["Condition", "Groups", "QueryError", "condition_column", "groups_column", "matches", "order_columns"]

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarn.functions import ids
 from tarn.operators.predicates import Condition, Groups, QueryError, condition_column, groups_column, order_columns
@@ -79,17 +80,29 @@ class QueryBuilder:
         unfiltered = self.after is None and any(not g for g in self.groups)
         return self.frame if unfiltered else self.frame.where(self.condition())
 
-    def ordering(self) -> list[Column]:
-        ties = [F.col(c).asc() for c in self.natural]
-        if self.order is None:
-            return ties
-        field, down = self.order
-        return [*(k.desc_nulls_last() if down else k.asc_nulls_first() for k in order_columns(self.frame, field, self.mode)), *ties]
+    def _keyed(self) -> tuple[DataFrame, list[Column], list[str]]:
+        """The matches with their order's keys as columns, so that sorting compares values and derives none."""
+        found, keys, names = self.matching(), [], []
+        if self.order is not None:
+            field, down = self.order
+            columns = order_columns(self.frame, field, self.mode)
+            names = [f"__key_{i}" for i in range(len(columns))]
+            found = found.withColumns(dict(zip(names, columns, strict=True)))
+            keys = [F.col(n).desc_nulls_last() if down else F.col(n).asc_nulls_first() for n in names]
+        return found, [*keys, *(F.col(c).asc() for c in self.natural)], names
 
     def get(self) -> DataFrame:
         """The matching records in order. With a limit Spark takes the top rows of each partition instead of sorting all."""
-        found = self.matching().orderBy(*self.ordering())
-        return found if self.most is None else found.limit(self.most)
+        found, order, names = self._keyed()
+        found = found.orderBy(*order)
+        return (found if self.most is None else found.limit(self.most)).drop(*names)
+
+    def numbered(self, name: str = "rn") -> DataFrame:
+        """What get() returns, with each record's place from 1. Only for a limited query: one task gives the places."""
+        if self.most is None:
+            raise QueryError("places are given to limited queries")
+        found, order, names = self._keyed()
+        return found.orderBy(*order).limit(self.most).withColumn(name, F.row_number().over(Window.orderBy(*order))).drop(*names)
 
     def first(self) -> Row | None:
         return next(iter(replace(self, most=1).get().collect()), None)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.values import Field
+from tarn.functions.values import Field, with_fields
 
 TYPES = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean", "mixed": "variant"}
 
@@ -77,15 +77,22 @@ class Schema:
 
     def violations(self, frame: DataFrame) -> Column:
         """An array of messages for each record (JSON text in `data`): empty where it is valid."""
-        found = []
-        for name, f in self.fields.items():
-            x = Field(name, F.col("data"), F.parse_json("data"))
-            if f.required:
-                found.append(F.when(~x.exists, F.lit(f"{name} is required")))
-            fits = {"string": x.is_string, "int": x.is_int, "float": x.is_int | x.is_float, "bool": x.is_bool}.get(f.type)
-            if fits is not None:
-                found.append(F.when(x.exists & ~F.coalesce(x.is_null, F.lit(False)) & ~F.coalesce(fits, F.lit(False)), F.lit(f"{name} is not of type {f.type}")))
-        return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        checked = {n: f for n, f in self.fields.items() if f.required or f.type != "mixed"}
+        if not checked:
+            return F.array().cast("array<string>")
+
+        def build(fields: dict[str, Field]) -> Column:
+            found = []
+            for name, f in checked.items():
+                x = fields[name]
+                if f.required:
+                    found.append(F.when(~x.exists, F.lit(f"{name} is required")))
+                fits = {"string": x.is_string, "int": x.is_int, "float": x.is_int | x.is_float, "bool": x.is_bool}.get(f.type)
+                if fits is not None:
+                    found.append(F.when(x.exists & ~F.coalesce(x.is_null, F.lit(False)) & ~F.coalesce(fits, F.lit(False)), F.lit(f"{name} is not of type {f.type}")))
+            return F.array_compact(F.array(*found))
+
+        return with_fields(list(checked), F.col("data"), build)
 
     def invalid(self, frame: DataFrame) -> DataFrame:
         """The records that break the schema, with their messages in `errors`."""
@@ -96,7 +103,7 @@ class Schema:
         out = []
         for name, f in self.fields.items():
             if f.unique:
-                x = Field(name, F.col("data"), F.parse_json("data"))
+                x = Field(name, F.col("data"))
                 scalar = x.exists & ~x.is_list & ~x.is_object
                 value = F.concat_ws(":", F.schema_of_variant(x.x), F.coalesce(x.string, x.integer.cast("string"), x.number.cast("string"), x.boolean.cast("string"), F.lit("null")))
                 out.append(frame.where(scalar).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(name).alias("field"), "value", "n"))
@@ -106,7 +113,7 @@ class Schema:
         """id, the declared columns but mixed ones, and data. A value of another type is null; an int counts as a float."""
         columns = []
         for name, f in self.fields.items():
-            x = Field(name, F.col("data"), F.parse_json("data"))
+            x = Field(name, F.col("data"))
             value = {"string": x.string, "int": x.integer, "float": x.number, "bool": x.boolean}.get(f.type)
             if value is not None:
                 columns.append((value.cast("int") if f.type == "bool" and booleans == "int" else value).alias(name))

@@ -179,20 +179,17 @@ _json("json_id_condition", f"id > '{CURSOR}' AND t IS NULL", lambda q: q.where("
 # F: order, limits, pages.
 @query(f"SELECT event_id, row_number() OVER (ORDER BY k, n, s, id) AS rn FROM (SELECT *, {RANK_SQL} AS k, CASE WHEN {NUMBER_SQL} THEN s::DOUBLE END AS n, CASE WHEN t = 'VARCHAR' THEN s END AS s2 FROM {J_SQL}) ORDER BY rn LIMIT 2000".replace("k, n, s, id", "k, n, s2, id"))
 def json_order_mixed(spark, d):
-    q = json_query(spark, d).order_by("f").limit(2000)
-    return numbered(q.get(), *q.ordering()).select("event_id", "rn")
+    return json_query(spark, d).order_by("f").limit(2000).numbered().select("event_id", "rn")
 
 
 @query(f"SELECT event_id, row_number() OVER (ORDER BY k DESC, n DESC, s2 DESC, id) AS rn FROM (SELECT *, {RANK_SQL} AS k, CASE WHEN {NUMBER_SQL} THEN s::DOUBLE END AS n, CASE WHEN t = 'VARCHAR' THEN s END AS s2 FROM {J_SQL}) ORDER BY rn LIMIT 2000")
 def json_order_mixed_desc(spark, d):
-    q = json_query(spark, d).order_by("f", "DESC").limit(2000)
-    return numbered(q.get(), *q.ordering()).select("event_id", "rn")
+    return json_query(spark, d).order_by("f", "DESC").limit(2000).numbered().select("event_id", "rn")
 
 
 def _top(direction: str) -> Query:
     def f(spark, d):
-        q = typed(events(spark, d)).where("event_type").eq("purchase").order_by("user_id", direction).limit(50)
-        return numbered(q.get(), *q.ordering()).select("event_id", "user_id", "rn")
+        return typed(events(spark, d)).where("event_type").eq("purchase").order_by("user_id", direction).limit(50).numbered().select("event_id", "user_id", "rn")
 
     f.__name__ = "order_asc_limit" if direction == "asc" else "order_desc_limit_stable_ties"
     return f
