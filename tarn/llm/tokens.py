@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from tarn.llm.common import flat, read_file, shared_folder, slices, write_file
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
 #: Texts are encoded so many bytes at a time: a larger slice repeats more of its pieces.
 ENCODE_BYTES = 4 << 20
 MAGIC = b"TARNIDS1"
@@ -82,7 +82,7 @@ class Encoder:
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets[:-1]] = True
         if len(data):
-            kind = KINDS[data]
+            kind = np.frombuffer(data.tobytes().translate(KINDS.tobytes()), np.uint8)
             cut[:-1] |= (kind == 1) | (kind == 2)
             cut[1:-1] |= kind[:-1] == 2
             cut[1:-1] |= (kind[1:] == 3) & (kind[:-1] == 4)
