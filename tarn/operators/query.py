@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -14,6 +15,28 @@ from tarn.functions import ids
 from tarn.operators.predicates import Condition, Groups, QueryError, condition_column, groups_column, order_columns
 
 
+#: monotonically_increasing_id() has the row's number within its partition in so many bits.
+ROW_BITS = 33
+
+
+def placed(frame: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
+    """Every row with its place from 1 in the whole order. Runs: rows are dealt by range, sorted and stored in the checkpoint folder;
+    a row's place is its number within its partition after the counts of those before."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp())
+    shuffled = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.repartitionByRange(shuffled, *order).sortWithinPartitions(*order)
+    # stored, so that the rows counted are the rows numbered: bounds come from a sample
+    rows = dealt.withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__at", ROW_BITS)
+    offsets, before = [0] * max(1, rows.rdd.getNumPartitions()), 0
+    for p, n in sorted(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets[p], before = before, before + n
+    first = F.array(*[F.lit(n).cast("long") for n in offsets])
+    return rows.withColumn(name, F.get(first, part.cast("int")) + F.col("__at").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1).drop("__at")
+
+
 @dataclass(frozen=True)
 class QueryBuilder:
     """A query over a frame with an `id`; in "json" mode with the record's JSON text in `data`.
@@ -98,10 +121,10 @@ class QueryBuilder:
         return (found if self.most is None else found.limit(self.most)).drop(*names)
 
     def numbered(self, name: str = "rn") -> DataFrame:
-        """What get() returns, with each record's place from 1. Only for a limited query: one task gives the places."""
-        if self.most is None:
-            raise QueryError("places are given to limited queries")
+        """What get() returns, with each record's place from 1. One task places a limited query's; a whole order is placed by range, at once."""
         found, order, names = self._keyed()
+        if self.most is None:
+            return placed(found, order, name).drop(*names)
         return found.orderBy(*order).limit(self.most).withColumn(name, F.row_number().over(Window.orderBy(*order))).drop(*names)
 
     def first(self) -> Row | None:

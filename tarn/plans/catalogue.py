@@ -187,6 +187,17 @@ def json_order_mixed_desc(spark, d):
     return json_query(spark, d).order_by("f", "DESC").limit(2000).numbered().select("event_id", "rn")
 
 
+# The whole order; the queries above hold its first rows, as their SQL says.
+@query(f"SELECT event_id, row_number() OVER (ORDER BY k, n, s, id) AS rn FROM (SELECT *, {RANK_SQL} AS k, CASE WHEN {NUMBER_SQL} THEN s::DOUBLE END AS n, CASE WHEN t = 'VARCHAR' THEN s END AS s2 FROM {J_SQL})".replace("k, n, s, id", "k, n, s2, id"))
+def json_order_mixed_whole(spark, d):
+    return json_query(spark, d).order_by("f").numbered().select("event_id", "rn")
+
+
+@query(f"SELECT event_id, row_number() OVER (ORDER BY k DESC, n DESC, s2 DESC, id) AS rn FROM (SELECT *, {RANK_SQL} AS k, CASE WHEN {NUMBER_SQL} THEN s::DOUBLE END AS n, CASE WHEN t = 'VARCHAR' THEN s END AS s2 FROM {J_SQL})")
+def json_order_mixed_desc_whole(spark, d):
+    return json_query(spark, d).order_by("f", "DESC").numbered().select("event_id", "rn")
+
+
 def _top(direction: str) -> Query:
     def f(spark, d):
         return typed(events(spark, d)).where("event_type").eq("purchase").order_by("user_id", direction).limit(50).numbered().select("event_id", "user_id", "rn")
