@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tarn.functions import ids
 from tarn.functions.jsonc import canonical_column
-from tarn.operators.query import QueryBuilder, RecordQuery
+from tarn.operators.query import QueryBuilder, RecordQuery, placed
 from tarn.operators.schema import Schema
 from tarn.plans.jobqueue import fold
 from tarn.plans.mirror import differences, row_hash
@@ -325,6 +325,11 @@ def log_compacted_order(spark, d):
     return numbered(first, F.col("seq"))
 
 
+@query(f"SELECT id, seq, row_number() OVER (ORDER BY seq) AS rn FROM {LAST_SQL} WHERE op = 'put'")
+def log_compacted_order_whole(spark, d):
+    return placed(last_rows(log_rows(spark, d)).where("op = 'put'").select("id", "seq"), [F.col("seq")])
+
+
 @query(f"SELECT event_id FROM {EVENTS_SQL} WHERE epoch_us(ts)//1000 > 1704500000000")
 def log_retention(spark, d):
     return events(spark, d).where(ids.ms_column(F.col("id")) > 1704500000000).select("event_id")
@@ -378,6 +383,11 @@ def queue_pending_order(spark, d):
     return numbered(first, F.col("pos"))
 
 
+@query(QUEUE_SQL + "SELECT id, pos, row_number() OVER (ORDER BY pos) AS rn FROM s WHERE state = 'pending'")
+def queue_pending_order_whole(spark, d):
+    return placed(jobs(spark, d).where("state = 'pending'").select("id", "pos"), [F.col("pos")])
+
+
 @query(QUEUE_SQL + "SELECT id, pos FROM s WHERE state = 'pending' ORDER BY pos LIMIT 10")
 def queue_claim_many(spark, d):
     return jobs(spark, d).where("state = 'pending'").select("id", "pos").orderBy("pos").limit(10)

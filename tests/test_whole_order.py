@@ -22,11 +22,11 @@ def test_places_of_all_rows(spark, direction):
     assert QueryBuilder(frame.limit(0)).numbered().collect() == []
 
 
-def whole(spark, name, total):
+def whole(spark, name, total, folder=FOLDER):
     con = duckdb.connect()
-    for f in glob.glob(f"{FOLDER}/*.parquet"):
+    for f in glob.glob(f"{folder}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
-    frame = catalogue.QUERIES[name](spark, FOLDER)
+    frame = catalogue.QUERIES[name](spark, folder)
     want = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({catalogue.SQL[name]})").fetchall()
     rows = sorted(map(tuple, frame.collect()))
     assert rows == sorted(want) and len(rows) == total
@@ -35,3 +35,8 @@ def whole(spark, name, total):
 @pytest.mark.parametrize("name", ["json_order_mixed_whole", "json_order_mixed_desc_whole"])
 def test_values_of_all_types_have_places(spark, name):
     whole(spark, name, 10_000)
+
+
+@pytest.mark.parametrize("name, total", [("log_compacted_order_whole", 1206), ("queue_pending_order_whole", 531)])
+def test_every_live_row_has_a_place(spark, name, total):
+    whole(spark, name, total, "/root/testdata/sf0.1")
