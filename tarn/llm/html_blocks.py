@@ -13,6 +13,7 @@ ids and urls stay null; other columns pass by unread.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -22,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Elements: those that hold no text of the page, those that part blocks, and those that say what they hold.
-SILENT = "script style noscript template svg math iframe object canvas audio video head title textarea select button".split()
+# Elements: those that hold no text of the page, those that part blocks, and those that say what they hold. A head is none of
+# them: what it may hold is silent, and other text ends it.
+SILENT = "script style noscript template svg math iframe object canvas audio video title textarea select button".split()
 BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -33,16 +35,19 @@ AWAY = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 #: Words of class, id and role names that mark what is not the article; those of WRAPPING may also stand on what is around it.
 HINTS = set(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr "
-    "popup modal newsletter subscribe subscription comment comments commentlist reply replies respond disqus sidebar "
-    "related recommended recommendations trending nav navbar navigation breadcrumb breadcrumbs footer "
-    "share sharing pagination pager complementary contentinfo".split()
+    "popup modal newsletter subscribe subscription comment comments commentlist reply replies respond disqus "
+    "recommended recommendations trending nav navbar navigation breadcrumb breadcrumbs footer "
+    "pagination pager complementary contentinfo".split()
 )
 WRAPPING = set("notice notices alert overlay signup login side aside widget widgets menu header masthead topbar social search form toolbar tags legal copyright disclaimer hidden skip".split())
 TAG = re.compile(
-    rf"<!--(?:.*?--!?>|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<({'|'.join(SILENT)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"
+    rf"<!--(?:.*?--!?>|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<=/)>|<({'|'.join(SILENT)})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1(?=[\s/>])[^>]*>|.*)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(?:/?[a-z]|[!?/])[^>]*(?:>|$)",
     re.I | re.S,
 )
+#: Those that also name what a whole page has beside its article, and the names that say only that it has it or not.
+SOFT = set("sidebar related share sharing".split())
+LAYOUT = re.compile(r"(?<![a-z])(?:has|have|no|with|without)[-_]+(?:(?:left|right)[-_]+)?(?:sidebar|related|share|sharing)(?![a-z])")
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 UNSEEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -56,22 +61,30 @@ class Block(NamedTuple):
     heading: bool
 
 
-def marked(attributes: str) -> int:
-    """Whether an element's names or state set it apart from the article: 2 for good, 1 unless the article is inside it."""
+def marked(attributes: str) -> tuple[int, bool]:
+    """Whether an element's names or state set it apart from the article: 2 for good, 1 unless the article is inside it; and
+    whether a name of SOFT does."""
     if not attributes.strip():
-        return 0
-    names = set(re.split(r"[^a-z]+", " ".join(a or b or c for a, b, c in MARK.findall(attributes)).lower()))
+        return 0, False
+    text = LAYOUT.sub(" ", " ".join(a or b or c for a, b, c in MARK.findall(attributes)).lower())
+    names = set(re.split(r"[^a-z]+", text))
+    soft = not SOFT.isdisjoint(names)
     if not HINTS.isdisjoint(names) or UNSEEN.search(attributes):
-        return 2
-    return int(not WRAPPING.isdisjoint(names))
+        return 2, soft
+    return int(soft or not WRAPPING.isdisjoint(names)), soft
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's flat text blocks in order."""
+    """The page's flat text blocks in order.
+
+    An article's level is the number of elements with a name of SOFT around it, counted from the main element. A page's
+    articles are those of level 0; without one, those of the least level are not set apart, and all blocks are judged alike."""
     found: list[tuple] = []
-    stack: list[tuple[str, bool, int]] = []  # open holders: name, inside the article, set apart
-    inside = heading = link = has_article = False
-    away = 0
+    # open holders: name, least level of the articles around, set apart, soft names around, level of the innermost article
+    stack: list[tuple[str, float, int, int, int]] = []
+    heading = link = False
+    inside, least = math.inf, math.inf
+    away = soft = level = 0
     pieces: list[str] = []
     linked: list[str] = []
     at = 0
@@ -81,7 +94,7 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                found.append((text, len(text.split()), len(html.unescape("".join(linked)).split()), inside, away, heading))
+                found.append((text, len(text.split()), len(html.unescape("".join(linked)).split()), inside, away, heading, level))
             pieces, linked = [], []
 
     for tag in TAG.finditer(page):
@@ -102,20 +115,24 @@ def blocks(page: str) -> list[Block]:
         if name not in HOLDERS or tag[4].endswith("/"):
             continue
         if not tag[2]:
-            stack.append((name, inside, away))
-            apart = marked(tag[4]) if name not in ("html", "body") else 0
+            stack.append((name, inside, away, soft, level))
+            apart, softly = marked(tag[4]) if name not in ("html", "body") else (0, False)
+            soft += softly
             article = name in ("article", "main") and not apart and away < 2
-            has_article, inside = has_article or article, inside or article
-            away = 0 if article else max(away, apart, 2 * (name in AWAY), int(name == "header" and not inside))
-        elif any(n == name for n, _, _ in stack):
+            if article:
+                level = soft = 0 if name == "main" else soft
+                inside, least = min(inside, level), min(least, level)
+            away = 0 if article else max(away, apart, 2 * (name in AWAY), int(name == "header" and inside == math.inf))
+        elif any(n == name for n, *_ in stack):
             while True:
-                opened, inside, away = stack.pop()
+                opened, inside, away, soft, level = stack.pop()
                 if opened == name:
                     break
     if at < len(page):
         pieces.append(page[at:])
     flush()
-    return [Block(t, w, x, (1 if i else -1) if has_article else 0, a > 0, h) for t, w, x, i, a, h in found]
+    has_article = least < math.inf
+    return [Block(t, w, x, 0 if least or not has_article else 1 if i == 0 else -1, a > 0 or v > least, h) for t, w, x, i, a, h, v in found]
 
 
 def features(run: list[Block]) -> np.ndarray:

@@ -76,3 +76,19 @@ def test_held_out_accuracy():
         rest = np.delete(TABLE, i, axis=0)
         right += Tree(rest[:, :-1], rest[:, -1])(TABLE[i : i + 1, :-1])[0] == (TABLE[i, -1] > 0)
     assert right >= 0.9 * len(TABLE) and (TREE(TABLE[:, :-1]) == (TABLE[:, -1] > 0)).all()
+
+
+def test_a_head_without_end_and_empty_drawings():
+    body = "<body><main><p>kept text<p>more</main>"
+    assert main_text(["<head><title>T</title><style>p{}</style>" + body, "<head lang=en><title>T</title></head>" + body]) == ["kept text more"] * 2
+    assert main_text([f"<main><p>one <svg class=i/>two<math x='1'/> three<svg a='/'>drawn</svg><p>four{end}</main>" for end in ("", "<svg><path d=x /></svg>")]) == ["one two three four"] * 2
+
+
+def test_an_article_in_a_wrapper_named_after_a_sidebar():
+    text = " ".join(["many words of an article that goes on"] * 8)
+    teaser = "<div class=related><article>" + "a teaser of another page. " * 6 + "</article></div>"
+    for name in ("has-sidebar", "no-sidebar", "page sidebar-right", "share-page", "with-right-sidebar related"):
+        assert main_text([f"<div class='{name}'><main><h1>kept text</h1><p>more</main>{teaser}</div>"]) == ["kept text more"]
+        assert main_text([f"<div class='{name}'><article><p>{text}<p>{text}</article>{teaser}</div>"]) == [f"{text} {text}"]
+    assert main_text([f"<article><p>one{teaser}<p>two</article>{teaser}"]) == ["one two"]
+    assert main_text([f"<div><p>{text}<p>{text}</div><div class=sidebar>beside it all</div>"]) == [f"{text} {text}"]
