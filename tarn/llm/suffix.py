@@ -136,14 +136,19 @@ def fragments(data: np.ndarray, offsets: np.ndarray) -> Columns:
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, place in it, bytes, offsets): whole texts, or an overlapping piece of a long one."""
+    """(first text, place in it, bytes, offsets): runs of whole texts, or an overlapping piece of a long one."""
     data, offsets = flat(column)
-    if len(column) > 1 or len(data) <= 4 * PIECE:
-        yield 0, 0, data, offsets
-        return
-    for at in range(0, len(data), PIECE):
-        part = data[at : at + PIECE + LENGTH - 1]
-        yield 0, at, part, np.array([0, len(part)])
+    first = 0
+    for text in [*np.flatnonzero(np.diff(offsets) > 4 * PIECE).tolist(), len(column)]:
+        if text > first:
+            yield first, 0, data[offsets[first] : offsets[text]], offsets[first : text + 1] - offsets[first]
+        first = text + 1
+        if text == len(column):
+            return
+        whole = data[offsets[text] : offsets[text + 1]]
+        for at in range(0, len(whole), PIECE):
+            part = whole[at : at + PIECE + LENGTH - 1]
+            yield text, at, part, np.array([0, len(part)])
 
 
 def later(keys: list[np.ndarray], columns: Columns) -> tuple[np.ndarray, np.ndarray]:
@@ -344,9 +349,9 @@ def fragment_blocks(rows: DataFrame, buckets: int) -> DataFrame:
             for batch in batches:
                 for part, column in slices(batch, most=PIECE):
                     ids = part.column(0).to_numpy(zero_copy_only=False)
-                    for _, place, data, offsets in pieces(column):
+                    for text, place, data, offsets in pieces(column):
                         found = fragments(data, offsets)
-                        text = found.pop("text")
+                        text = found.pop("text") + text
                         held.append(found | {"row": ids[text], "start": found["start"] + place})
                     if sum(len(h["m"]) for h in held) > FLUSH:
                         yield from flush()

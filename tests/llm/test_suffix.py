@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarn.llm import suffix as S
@@ -101,3 +102,16 @@ def test_collection_against_sorted_suffixes(tmp_path, seed):
             truth.setdefault(s[p : p + 4], set()).add((j, p))
     assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in truth.values() if len(v) > 1)
     assert not list(tmp_path.iterdir())
+
+
+def test_a_long_text_after_a_short_one(spark):
+    draw = random.Random(11)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(400))
+    filler = np.random.default_rng(3).integers(97, 123, (1 << 24) + 5000, np.uint8).tobytes().decode()
+    long = filler[:1000] + passage + "|" + filler[1000:] + "|" + passage
+    column = pa.array(["short", long, "", "end"], pa.large_string())
+    parts = list(S.pieces(column))
+    assert max(len(data) for _, _, data, _ in parts) < 1 << 24
+    assert {(text, place) for text, place, *_ in parts} >= {(0, 0), (1, 0), (1, S.PIECE), (2, 0)}
+    docs = spark.createDataFrame([(0, "short"), (1, long), (2, "end")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in S.remove_repeats(docs).collect()} == {0: 0, 1: 400, 2: 0}
