@@ -26,6 +26,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def license_scan_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1 with hard-wrapped notices; op1_license_scan keeps to lines, as its SQL does."""
+    from tarn.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"), across_lines=True)
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.pii import personal_data
 
@@ -133,6 +140,12 @@ SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base
 FROM texts t LEFT JOIN base b USING (doc_id) LEFT JOIN found f USING (doc_id)"""
 
 
+def across_lines_sql() -> str:
+    """The same with the whole text as one line more."""
+    lines = "AS line FROM texts)),"
+    return op1_sql().replace(lines, lines[:-2] + " UNION ALL SELECT doc_id, w FROM texts),")
+
+
 def op9_sql() -> str:
     """The rules' definition, with the thresholds of the operator."""
     from tarn.llm import quality as Q
@@ -165,9 +178,9 @@ FROM all_"""
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_personal_data, op3_packing, op4_jaccard_join, op5_url_filter, op6_decontamination, op7_repeated_strings, op8_html_text, op9_quality, op10_token_output)
+    own = (op1_license_scan, license_scan_across_lines, op2_personal_data, op3_packing, op4_jaccard_join, op5_url_filter, op6_decontamination, op7_repeated_strings, op8_html_text, op9_quality, op10_token_output)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "op4_jaccard_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_quality": op9_sql()}
+    return {"op1_license_scan": op1_sql(), "license_scan_across_lines": across_lines_sql(), "op4_jaccard_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_quality": op9_sql()}
