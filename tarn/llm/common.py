@@ -11,7 +11,7 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -31,9 +31,12 @@ IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary
+    folder; a cluster, whose machines would not see it, gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarn-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is the default file system's
@@ -52,6 +55,14 @@ def keep(frame: DataFrame, kind: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """A column name that no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI; a plain path is local."""
     from pyarrow import fs

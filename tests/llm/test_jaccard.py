@@ -4,6 +4,9 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tarn.llm import components as components_module
 from tarn.llm import jaccard as J
 from tarn.llm.components import components
 
@@ -63,7 +66,7 @@ def found(spark, rows, n, percent):
     return sorted(str(tuple(r)) for r in J.near_duplicates(docs, n, percent).collect())
 
 
-@pytest.mark.parametrize("n, percent, seed", [(3, 90, 1), (5, 80, 2), (2, 60, 3)])
+@pytest.mark.parametrize("n, percent, seed", [(3, 90, 1), (5, 80, 2), (1, 45, 7)])
 def test_against_brute_force(spark, n, percent, seed):
     rows = copies(seed)
     assert found(spark, rows, n, percent) == brute(rows, n, percent)
@@ -76,6 +79,69 @@ def test_large_regions_give_the_same(spark, monkeypatch):
     assert found(spark, rows, 3, 90) == brute(rows, 3, 90)
 
 
+def test_blocks_of_one_label_and_of_others(spark, monkeypatch):
+    """Regions that no pivot parts: cells are as large as their region, so blocks meet in pairs."""
+    rows = copies(4, stars=150)
+    monkeypatch.setattr(J, "MAX_SETS", 8)
+    monkeypatch.setattr(J, "PIVOTS", 1)
+    monkeypatch.setattr(J, "MINIMA", 0)
+    assert found(spark, rows, 2, 60) == brute(rows, 2, 60)
+
+
+def test_without_pivots_of_buckets_the_rest_is_exact(spark, monkeypatch):
+    rows = copies(8)
+    monkeypatch.setattr(J, "MINIMA", 0)
+    assert found(spark, rows, 3, 90) == brute(rows, 3, 90)
+
+
+def test_hot_pivots_and_hubs(spark, monkeypatch):
+    """One group holds most rows: its hubs are broadcast and its pivots copied."""
+    rows = copies(9, stars=200)
+    rows += [(2000 + i, rows[3][1]) for i in range(300)]
+    monkeypatch.setattr(J, "SALTED", 7)
+    monkeypatch.setattr(components_module, "HOT", 5)
+    assert found(spark, rows, 3, 90) == brute(rows, 3, 90)
+
+
+def test_different_sets_with_one_first_key(spark, monkeypatch):
+    rows = copies(10)
+    monkeypatch.setattr(J, "KEY_BITS", 6)
+    assert found(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in copies(11)], "doc_id long, text string, Match_ID int, match_key int, SET_KEY int").repartition(3)
+    got = J.distinct_documents(docs)
+    assert got.columns == docs.columns and 0 < got.count() < docs.count()
+
+
+def test_edges_grow_with_a_group_not_with_its_square(spark):
+    """Near copies of one text: at most as many edges as labels in each task, and pivots contract the group first."""
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(3000)}" for _ in range(200)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for _ in range(1 + i % 3):
+            text[draw.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = J.member_sets(docs, J.described(docs, 5).select("doc_id", "key"), 5, J.Keys())
+    sets = J.keep(J.may_match(sets, J.own_shingles(sets, 5, 1.0, J.Keys()), F.size("shingles"), 80), "test")
+    links = J.keep(J.pivot_links(sets, 80), "test")
+    assert 390 < links.count() <= J.MINIMA * 400
+    labels = components(links).withColumnRenamed("node", "key")
+    marked = sets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    assert marked.select("label").distinct().count() < 10
+    assert J.signature_edges(marked, 80).count() < 10 * J.partitions(docs)
+
+
+def test_forest():
+    a, b = np.array([5, 9, 9, 7, 3]), np.array([3, 5, 3, 8, 3])
+    assert J.forest(a, b).tolist() == [[5, 3], [8, 7], [9, 3]]
+    assert len(J.forest(a[:0], b[:0])) == 0
+
+
 def test_nothing(spark, nothing):
     assert J.near_duplicates(nothing, 3, 90).collect() == []
 
