@@ -24,15 +24,23 @@ def unframe(line: str) -> str | None:
     return parts[2] if int(parts[0]) == len(raw) and parts[1].lower() == xxhash.xxh32_hexdigest(raw) else None
 
 
-def unframed_column(line: Column) -> Column:
-    """The JSON of each line, null where the frame is broken. Lengths are compared in the JVM; only checksums need Python."""
-
+def _sums(text: Column) -> Column:
     def sums(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield part.map(lambda t: None if t is None else xxhash.xxh32_hexdigest(t.encode()))
 
     sums.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(sums, "string")(text)
+
+
+def framed_column(text: Column) -> Column:
+    """The line of each JSON text, without the newline that a text file puts behind it."""
+    return F.concat_ws("\t", F.octet_length(text).cast("string"), _sums(text), text)
+
+
+def unframed_column(line: Column) -> Column:
+    """The JSON of each line, null where the frame is broken. Lengths are compared in the JVM; only checksums need Python."""
     parts = F.split(line, "\t", 3)
     size, claimed, body = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
     whole = size.rlike(r"\A[0-9]+\z") & (F.octet_length(body) == size.try_cast("int"))
-    return F.when(whole & (F.lower(claimed) == F.pandas_udf(sums, "string")(body)), body)
+    return F.when(whole & (F.lower(claimed) == _sums(body)), body)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -12,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions import ids
+from tarn.functions.values import Field
 from tarn.operators.predicates import Condition, Groups, QueryError, condition_column, groups_column, order_columns
+from tarn.sources.store import scratch
 
 
 #: monotonically_increasing_id() has the row's number within its partition in so many bits.
@@ -24,7 +25,7 @@ def placed(frame: DataFrame, order: list[Column], name: str = "rn") -> DataFrame
     a row's place is its number within its partition after the counts of those before."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp())
+        context.setCheckpointDir(scratch(frame.sparkSession, "places"))
     shuffled = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = frame.repartitionByRange(shuffled, *order).sortWithinPartitions(*order)
     # stored, so that the rows counted are the rows numbered: bounds come from a sample
@@ -135,6 +136,20 @@ class QueryBuilder:
         found = self.matching().select("id")
         return (found if self.most is None else found.limit(self.most)).count()
 
+    def counts_by(self, field: str) -> DataFrame:
+        """The number of matches for each value of a field: the value as it is, or a JSON record's scalar as text with null for a
+        missing field and "null" for an explicit null; lists and objects are left out."""
+        found = self.matching()
+        if self.mode != "json" or field == "id":
+            return found.groupBy(field).agg(F.count(F.lit(1)).alias("n"))
+        x = Field(field, F.col("data"))
+        text = F.coalesce(x.string, x.integer.cast("string"), x.number.cast("string"), x.boolean.cast("string"), F.when(x.is_null, "null"))
+        return found.where(~F.coalesce(x.is_list | x.is_object, F.lit(False))).groupBy(text.alias(field)).agg(F.count(F.lit(1)).alias("n"))
+
+    def candidate_count(self) -> int:
+        """The number of records that the conditions leave, without order and limit. There are no indexes that would give it sooner."""
+        return self.matching().select("id").count()
+
     def explain(self) -> dict:
         """What the query asks for, and the plan Spark makes of it."""
         plan = self.get()._jdf.queryExecution().executedPlan().toString()

@@ -105,7 +105,9 @@ class Schema:
             if f.unique:
                 x = Field(name, F.col("data"))
                 scalar = x.exists & ~x.is_list & ~x.is_object
-                value = F.concat_ws(":", F.schema_of_variant(x.x), F.coalesce(x.string, x.integer.cast("string"), x.number.cast("string"), x.boolean.cast("string"), F.lit("null")))
+                # 1.5 and 1.5e0 are one float whatever type their text parses to; 1 and 1.0 differ
+                kind = F.when(x.is_string, "string").when(x.is_int, "int").when(x.is_float, "float").when(x.is_bool, "bool").otherwise("null")
+                value = F.concat_ws(":", kind, F.coalesce(x.string, x.integer.cast("string"), (x.number + F.lit(0.0)).cast("string"), x.boolean.cast("string"), F.lit("null")))
                 out.append(frame.where(scalar).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(name).alias("field"), "value", "n"))
         return reduce(DataFrame.unionAll, out) if out else frame.sparkSession.createDataFrame([], "field string, value string, n long")
 

@@ -12,9 +12,13 @@ from tarn.functions import ids
 from tarn.functions.jsonc import canonical_column
 from tarn.operators.query import QueryBuilder, RecordQuery, placed
 from tarn.operators.schema import Schema
-from tarn.plans.jobqueue import fold
-from tarn.plans.mirror import differences, row_hash
+from tarn.plans.collections import DocumentStore, EventLog
+from tarn.plans.jobqueue import JobQueue, fold
+from tarn.plans.mirror import Mirror, differences, row_hash
+from tarn.plans.oplog import OpLog
 from tarn.sources.records import enveloped, json_lines
+from tarn.sources.store import scratch
+from tarn.streaming.streams import push_stream, queue_states, tail, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,9 +150,9 @@ _filter("typed_exists", "true", lambda q: q.where("value").exists())
 _filter("typed_missing", "false", lambda q: q.where("value").missing())
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a')")
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'cold')")
 def filter_prefix(spark, d):
-    return plain(spark, d, "part", "p_partkey").where("p_name").prefix("a").matching().select("p_partkey", "p_name")
+    return plain(spark, d, "part", "p_partkey").where("p_name").prefix("cold").matching().select("p_partkey", "p_name")
 
 
 # Conditions on JSON records.
@@ -229,29 +233,30 @@ def first_match(spark, d):
 # G: counts.
 @query("SELECT count(*) AS n FROM events WHERE event_type = 'click' AND value > 10")
 def count_filtered(spark, d):
-    return plain(spark, d, "events", "event_id").where("event_type").eq("click").where("value").gt(10).matching().agg(F.count(F.lit(1)).alias("n"))
+    return one_row(spark, n=typed(events(spark, d)).where("event_type").eq("click").where("value").gt(10).count())
 
 
 @query("SELECT least(count(*), 25) AS n FROM events WHERE event_type = 'click'")
 def count_limited(spark, d):
-    q = plain(spark, d, "events", "event_id").where("event_type").eq("click")
-    return q.matching().limit(25).agg(F.count(F.lit(1)).alias("n"))
+    return one_row(spark, n=typed(events(spark, d)).where("event_type").eq("click").order_by("value").limit(25).count())
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def count_by_value(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return plain(spark, d, "events", "event_id").counts_by("event_type")
 
 
-@query(f"SELECT count(*) AS records, CAST(sum(strlen(j)) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS corrupt FROM {J_SQL}")
+@query("SELECT count(*) AS records, count(*) FILTER (event_id % 6 = 4) AS corrupt FROM events")
 def stats_collection(spark, d):
-    bad = F.try_parse_json("data").isNull().cast("long")
-    return json_events(spark, d).agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("data")).alias("bytes"), F.sum(bad).alias("corrupt"))
+    store = DocumentStore(spark, scratch(spark, "documents"))
+    store.put_frame(json_events(spark, d).select("id", F.when(F.expr("event_id % 6 = 4"), '{"f":').otherwise(F.col("data")).alias("data")))
+    found = store.stats()
+    return one_row(spark, records=found["records"], corrupt=found["corrupt"])
 
 
-@query(f"SELECT event_id//1000 AS zone, min(id) AS least, max(id) AS greatest, count(*) AS n FROM {EVENTS_SQL} GROUP BY event_id//1000")
-def segment_zone_map(spark, d):
-    return events(spark, d).groupBy(F.expr("event_id div 1000").alias("zone")).agg(F.min("id").alias("least"), F.max("id").alias("greatest"), F.count(F.lit(1)).alias("n"))
+@query("SELECT CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'null' WHEN 2 THEN CAST(user_id AS VARCHAR) WHEN 3 THEN event_type ELSE 'true' END AS f, count(*) AS n FROM events WHERE event_id % 6 <> 5 GROUP BY 1")
+def count_by_json_value(spark, d):
+    return json_query(spark, d).counts_by("f")
 
 
 # L: functions of ids.
@@ -293,57 +298,291 @@ def log_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), op.alias("op"), "event_type", "value")
 
 
-def last_rows(rows: DataFrame) -> DataFrame:
-    rest = [c for c in rows.columns if c != "id"]
-    last = rows.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("x"))
-    return last.select("id", *[F.col(f"x.{c}").alias(c) for c in rest])
+START_MS = 1700000000000
+
+
+def made(number: Column) -> Column:
+    """A record's id from a number, and back."""
+    return ids.made_column(F.lit(START_MS), number)
+
+
+def number_of(id_: Column) -> Column:
+    return F.conv(F.substring(id_, 25, 12), 16, 10).cast("long")
+
+
+def logged(spark: SparkSession, d: str, **options: int) -> EventLog:
+    """An event log in the shared folder, written in two commits."""
+    log = EventLog(spark, scratch(spark, "log"))
+    log.log = OpLog(spark, log.log.root, **options)
+    rows = log_rows(spark, d).select(made(F.col("id")).alias("id"), "op", "seq", F.to_json(F.struct("seq", "op", "event_type", "value")).alias("data"))
+    middle = rows.agg(F.expr("(min(seq) + max(seq)) div 2")).first()[0]
+    for part in (rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle)):
+        log.log.append(part, ("seq",))
+    return log
+
+
+def unlogged(frame: DataFrame, *names: str) -> DataFrame:
+    kinds = {"seq": "bigint", "event_type": "string", "value": "double", "op": "string"}
+    value = F.parse_json("data")
+    return frame.select(number_of(F.col("id")).alias("id"), *[F.variant_get(value, f"$.{n}", kinds[n]).alias(n) for n in names])
+
+
+def one_row(spark: SparkSession, **values: int) -> DataFrame:
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} long" for n in values))
 
 
 @query(f"SELECT id, seq, event_type, value FROM {LAST_SQL} WHERE op = 'put'")
 def log_live_view(spark, d):
-    return last_rows(log_rows(spark, d)).where("op = 'put'").select("id", "seq", "event_type", "value")
+    return unlogged(logged(spark, d).stream(), "seq", "event_type", "value")
 
 
 @query(f"SELECT id, seq FROM {LAST_SQL} WHERE op = 'put' AND event_type = 'view'")
 def log_live_filtered_after_overwrite(spark, d):
-    return last_rows(log_rows(spark, d)).where("op = 'put' and event_type = 'view'").select("id", "seq")
+    return unlogged(logged(spark, d).stream(RecordQuery().where_equal("event_type", "view")), "seq")
 
 
 @query(f"SELECT id, seq FROM {LAST_SQL} WHERE op = 'put' AND id > 100")
 def log_live_filtered_by_id_first(spark, d):
-    return last_rows(log_rows(spark, d).where("id > 100")).where("op = 'put'").select("id", "seq")
+    after = spark.range(1).select(made(F.lit(100))).first()[0]
+    return unlogged(logged(spark, d).stream(RecordQuery().after(after)), "seq")
+
+
+@query(f"SELECT id, seq, event_type FROM {LAST_SQL} WHERE op = 'put' AND event_type <> 'click'")
+def log_query_builder(spark, d):
+    return unlogged(logged(spark, d).query().where("event_type").neq("click").get(), "seq", "event_type")
+
+
+@query(f"SELECT id, seq FROM {LAST_SQL} WHERE id IN (7, 42) AND op = 'put'")
+def log_point_read(spark, d):
+    log = logged(spark, d)
+    found = [log.get(r[0]) for r in spark.range(1).select(F.explode(F.array(made(F.lit(7)), made(F.lit(42))))).collect()]
+    return unlogged(spark.createDataFrame([tuple(r) for r in found if r], "id string, data string"), "seq")
 
 
 @query(f"SELECT count(*) AS deleted FROM {LAST_SQL} WHERE op = 'delete'")
 def log_deleted_count(spark, d):
-    return last_rows(log_rows(spark, d)).where("op = 'delete'").agg(F.count(F.lit(1)).alias("deleted"))
+    return logged(spark, d).deleted().agg(F.count(F.lit(1)).alias("deleted"))
+
+
+@query(f"SELECT count(*) FILTER (op = 'put') AS records, count(*) FILTER (op = 'delete') AS deleted, count(*) FILTER (op = 'put') AS counted FROM {LAST_SQL}")
+def log_stats(spark, d):
+    log = logged(spark, d)
+    found = log.stats()
+    return one_row(spark, records=found["records"], deleted=found["deleted"], counted=log.query().count())
 
 
 @query(f"SELECT id, seq, row_number() OVER (ORDER BY seq) AS rn FROM {LAST_SQL} WHERE op = 'put' ORDER BY rn LIMIT 100")
 def log_compacted_order(spark, d):
-    first = last_rows(log_rows(spark, d)).where("op = 'put'").select("id", "seq").orderBy("seq").limit(100)
-    return numbered(first, F.col("seq"))
+    log = logged(spark, d)
+    log.compact()
+    return numbered(unlogged(log.stream().limit(100), "seq"), F.col("seq"))
 
 
 @query(f"SELECT id, seq, row_number() OVER (ORDER BY seq) AS rn FROM {LAST_SQL} WHERE op = 'put'")
 def log_compacted_order_whole(spark, d):
-    return placed(last_rows(log_rows(spark, d)).where("op = 'put'").select("id", "seq"), [F.col("seq")])
+    log = logged(spark, d)
+    log.compact()
+    return unlogged(log.query().numbered(), "seq").join(log.query().numbered().select(number_of(F.col("id")).alias("id"), "rn"), "id")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS kept, CAST(count(*) AS BIGINT) AS in_files, 0::BIGINT AS deleted FROM {LAST_SQL} WHERE op = 'put'")
+def log_compaction(spark, d):
+    log = logged(spark, d)
+    kept = log.compact()["records"]
+    return one_row(spark, kept=kept, in_files=log.log.read().count(), deleted=log.stats()["deleted"])
 
 
 @query(f"SELECT event_id FROM {EVENTS_SQL} WHERE epoch_us(ts)//1000 > 1704500000000")
 def log_retention(spark, d):
-    return events(spark, d).where(ids.ms_column(F.col("id")) > 1704500000000).select("event_id")
+    log = EventLog(spark, scratch(spark, "log"))
+    log.put_frame(events(spark, d).select("id", F.to_json(F.struct("event_id")).alias("data")), ("id",))
+    log.retain().older_than_ms(0, now_ms=1704500000000).compact()
+    return log.stream().select(F.variant_get(F.parse_json("data"), "$.event_id", "bigint").alias("event_id"))
 
 
 @query(f"SELECT id, op, seq, op = 'delete' AS deleted FROM {LAST_SQL}")
 def log_state_index(spark, d):
-    return last_rows(log_rows(spark, d)).select("id", "op", "seq", (F.col("op") == "delete").alias("deleted"))
+    log = logged(spark, d)
+    found = log.state().join(log.log.read().select("commit", "row", "data"), ["commit", "row"])
+    return found.select(number_of(F.col("id")).alias("id"), "op", F.variant_get(F.parse_json("data"), "$.seq", "bigint").alias("seq"), "deleted")
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM events")
 def log_version_numbers(spark, d):
-    version = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, d, "events").select("user_id", "event_id", version.alias("version"))
+    found = logged(spark, d).log.history()
+    return found.select(number_of(F.col("id")).alias("user_id"), F.variant_get(F.parse_json("data"), "$.seq", "bigint").alias("event_id"), "version")
+
+
+@query("SELECT count(*) AS n, CAST(1000 AS BIGINT) AS most, min(user_id) AS least, max(user_id) AS greatest FROM events")
+def segment_zone_map(spark, d):
+    """Files of 1,000 rows at most, and what their zones say of ids."""
+    found = logged(spark, d, rows_per_file=1000).log.zones()
+    return found.agg(F.sum("n").alias("n"), F.max(F.when(F.col("n") > 1000, F.col("n")).otherwise(1000)).alias("most"), number_of(F.min("least")).alias("least"), number_of(F.max("greatest")).alias("greatest"))
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS large FROM events")
+def segment_roll_by_bytes(spark, d):
+    """Segments of about 16 KiB: none holds twice that."""
+    log = logged(spark, d, bytes_per_file=16_384).log
+    sizes = log.read().groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("id") + F.octet_length("data")).alias("bytes"))
+    return sizes.agg(F.sum("n").alias("n"), F.count(F.when(F.col("bytes") > 32_768, 1)).alias("large"))
+
+
+@query("SELECT true AS ok, CAST(0 AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS torn FROM events WHERE event_id >= 0.75 * (SELECT max(event_id) FROM events)")
+def log_verify_and_recover(spark, d):
+    """Framed files whose tail is torn: the lines before are recovered, and the log agrees with its replay."""
+    from tarn.functions.frames import framed_column
+
+    rows = log_rows(spark, d).select("seq", F.to_json(F.struct(F.lit("put").alias("op"), made(F.col("seq")).alias("id"), F.struct("seq").alias("data"))).alias("body"))
+    last = rows.agg(F.max("seq")).first()[0]
+    line = F.when(F.col("seq") >= 0.75 * last, F.expr("substr(line, 1, length(line) - 3)")).otherwise(F.col("line"))
+    path = scratch(spark, "framed")
+    rows.withColumn("line", framed_column(F.col("body"))).select(line.alias("value"), "seq").repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
+    log = EventLog(spark, scratch(spark, "log"))
+    kept, checked = log.recover_framed(path), log.verify()
+    return spark.createDataFrame([(checked["ok"], len(checked["errors"]), rows.count() - kept)], "ok boolean, errors long, torn long")
+
+
+# Documents through the store.
+DOC_SQL = """(SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 11 <> 0)"""
+
+
+def order_records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("p"))
+
+
+def as_documents(frame: DataFrame) -> DataFrame:
+    return frame.select(made(F.col("k")).alias("id"), F.to_json(F.struct("s", "p")).alias("data"))
+
+
+ORDER_SCHEMA = Schema("orders").string("s", index=True).float("p", range=True).required(["s"])
+
+
+def stored(spark: SparkSession, d: str) -> DocumentStore:
+    """Orders as documents: all put, every fifth put again, every eleventh deleted."""
+    store, orders = DocumentStore(spark, scratch(spark, "documents"), ORDER_SCHEMA, "orders"), order_records(spark, d)
+    store.put_frame(as_documents(orders))
+    store.put_frame(as_documents(orders.where("k % 5 = 0").withColumn("s", F.lit("X"))))
+    store.delete_frame(as_documents(orders.where("k % 11 = 0")))
+    return store
+
+
+def as_orders(frame: DataFrame) -> DataFrame:
+    value = F.parse_json("data")
+    return frame.select(number_of(F.col("id")).alias("k"), F.variant_get(value, "$.s", "string").alias("s"), F.variant_get(value, "$.p", "double").alias("p"))
+
+
+@query(f"SELECT k, s, p FROM {DOC_SQL}")
+def doc_upsert_and_delete(spark, d):
+    return as_orders(stored(spark, d).stream())
+
+
+@query(f"SELECT k, s, p FROM {DOC_SQL} WHERE s = 'X' AND p > 100000")
+def doc_query_builder(spark, d):
+    return as_orders(stored(spark, d).query().where("s").eq("X").where("p").gt(100000).get())
+
+
+@query(f"SELECT k, s, p FROM {DOC_SQL} WHERE k IN (5, 22, 77, 100)")
+def doc_point_read(spark, d):
+    store = stored(spark, d)
+    found = [store.get(r[0]) for r in spark.createDataFrame([(5,), (22,), (77,), (100,)], "k long").select(made(F.col("k"))).collect()]
+    return as_orders(spark.createDataFrame([tuple(r) for r in found if r], "id string, data string"))
+
+
+@query(f"SELECT k, s, p FROM {DOC_SQL}")
+def doc_compact_and_reindex(spark, d):
+    store = stored(spark, d)
+    store.compact()
+    store.reindex()
+    return as_orders(store.log.read().where("op = 'put'"))
+
+
+@query(f"SELECT count(*) AS records, 0::BIGINT AS corrupt, count(*) AS counted, count(*) FILTER (s = 'X') AS x, true AS ok FROM {DOC_SQL}")
+def doc_stats_and_verify(spark, d):
+    store = stored(spark, d)
+    checked, q = store.verify(), store.query()
+    found = [(checked["stats"]["records"], checked["stats"]["corrupt"], q.count(), q.where("s").eq("X").count(), checked["ok"])]
+    return spark.createDataFrame(found, "records long, corrupt long, counted long, x long, ok boolean")
+
+
+@query(f"SELECT s, count(*) AS n FROM {DOC_SQL} GROUP BY s")
+def doc_counts_by(spark, d):
+    return stored(spark, d).query().counts_by("s")
+
+
+@query(f"SELECT k, s, p FROM {DOC_SQL}")
+def schema_typed_projection(spark, d):
+    return ORDER_SCHEMA.typed(stored(spark, d).frame()).select(number_of(F.col("id")).alias("k"), "s", "p")
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 8 <> 0) AS records, count(*) FILTER (o_orderkey % 8 = 0) AS quarantined, count(*) FILTER (o_orderkey % 8 = 0) AS told, true AS ok FROM orders")
+def doc_corrupt_and_repair(spark, d):
+    """Every eighth record is cut: a read that goes on tells of them, a repair moves them."""
+    store = DocumentStore(spark, scratch(spark, "documents"))
+    store.put_frame(as_documents(order_records(spark, d)).withColumn("data", F.expr("CASE WHEN conv(substr(id, 25), 16, 10) % 8 = 0 THEN substr(data, 1, 9) ELSE data END")))
+    told = []
+    store.stream(RecordQuery().continue_on_error(lambda id_, error: told.append(id_))).count()
+    moved = store.repair()["quarantined"]
+    checked = store.verify()
+    return spark.createDataFrame([(checked["stats"]["records"], moved, len(told), checked["ok"])], "records long, quarantined long, told long, ok boolean")
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders")
+def doc_export_and_import(spark, d):
+    """JSON lines written by one store and read by another: ids stay."""
+    one, two = (DocumentStore(spark, scratch(spark, "documents")) for _ in range(2))
+    one.put_frame(as_documents(order_records(spark, d)))
+    path = scratch(spark, "lines")
+    one.export_json_lines(path)
+    two.import_json_lines(path)
+    return as_orders(two.stream())
+
+
+@query("SELECT count(*) AS n, 2 * count(*) AS records, 2 * count(*) AS valid FROM nation")
+def doc_import_makes_ids(spark, d):
+    """Records without ids, imported twice: every one gets an id of its own."""
+    path = scratch(spark, "lines")
+    table(spark, d, "nation").select(F.to_json(F.struct("n_name")).alias("value")).write.text(path)
+    store = DocumentStore(spark, scratch(spark, "documents"))
+    n = store.import_json_lines(path)
+    store.import_json_lines(path)
+    return store.frame().agg(F.lit(n).cast("long").alias("n"), F.countDistinct("id").alias("records"), F.count(F.when(ids.valid_column(F.col("id")), 1)).alias("valid"))
+
+
+@query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0")
+def record_files_decode(spark, d):
+    """One file for a record, with a comment and a trailing comma; every fourth is cut."""
+    from tarn.sources.records import read_record_files
+    from tarn.sources.store import Files
+
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", made(F.col("n_nationkey").cast("long")).alias("id")).collect()  # 25 rows at any size
+    files = Files(spark, scratch(spark, "records"))
+    for r in rows:
+        text = f'{{ // a nation\n"id": "{r.id}", "data": {{"k": {r.n_nationkey}, "name": "{r.n_name}",}},}}'
+        files.create(f"{r.id}.json", text[:-9] if r.n_nationkey % 4 == 0 else text)
+    good, _ = read_record_files(spark, files.root)
+    value = F.parse_json("data")
+    return good.select(F.variant_get(value, "$.k", "int").alias("k"), F.variant_get(value, "$.name", "string").alias("name"))
+
+
+@query("SELECT 4::BIGINT AS commits, 3::BIGINT AS folders, count(*) AS records FROM nation")
+def store_sweep(spark, d):
+    """Four versions, of which the last stays when it is swept."""
+    store = DocumentStore(spark, scratch(spark, "documents"))
+    for _ in range(3):
+        store.put_frame(table(spark, d, "nation").select(made(F.col("n_nationkey").cast("long")).alias("id"), F.to_json(F.struct("n_name")).alias("data")))
+    store.compact()
+    commits = store.log.versions.latest()[0]
+    swept = store.log.sweep(keep=1, seconds=-60)
+    return one_row(spark, commits=commits, folders=swept["folders"], records=store.query().count())
+
+
+@query("SELECT count(*) AS n, count(*) AS distinct_ids, count(*) AS valid FROM nation")
+def uuid_generate(spark, d):
+    make = ids.Uuid7()
+    rows = [(make(),) for _ in range(table(spark, d, "nation").count())]
+    frame = spark.createDataFrame(rows, "id string")
+    return frame.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("distinct_ids"), F.count(F.when(ids.valid_column(F.col("id")), 1)).alias("valid"))
 
 
 # H: the queue. A user is a job.
@@ -388,25 +627,148 @@ def queue_pending_order_whole(spark, d):
     return placed(jobs(spark, d).where("state = 'pending'").select("id", "pos"), [F.col("pos")])
 
 
-@query(QUEUE_SQL + "SELECT id, pos FROM s WHERE state = 'pending' ORDER BY pos LIMIT 10")
+JOB_SQL = f"('{START_MS // 65536:08x}-{START_MS % 65536:04x}-7000-8000-' || printf('%012x', id))"
+
+
+def queued(spark: SparkSession, d: str) -> JobQueue:
+    """A queue in the shared folder whose log holds the events of all users' jobs."""
+    names = {"signup": "enqueue", "click": "claim", "purchase": "complete", "error": "requeue", "view": "purge"}
+    op = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
+    rows = table(spark, d, "events").select(made(F.col("user_id")).alias("id"), "event_id", op.alias("op"), F.lit(True).alias("done"), F.expr(MS.replace("div 1000", "div 1000000")).alias("ts"), F.to_json(F.struct("event_id")).alias("data"))
+    queue = JobQueue(spark, scratch(spark, "queue"))
+    queue.log.append(rows, ("event_id",))
+    return queue
+
+
+def states(queue: JobQueue) -> DataFrame:
+    return queue.jobs().select(number_of(F.col("id")).alias("id"), "state", "ts")
+
+
+#: Behind all events, so that what is claimed or done has aged; the middle of those states' times.
+LATER, AGE = 1706700000, 50_000
+
+
+@query(QUEUE_SQL + "SELECT id, row_number() OVER (ORDER BY pos) AS place FROM s WHERE state = 'pending' ORDER BY pos LIMIT 10")
 def queue_claim_many(spark, d):
-    return jobs(spark, d).where("state = 'pending'").select("id", "pos").orderBy("pos").limit(10)
+    claimed = queued(spark, d).claim_many(10, now=LATER)
+    frame = spark.createDataFrame([(r.id, i + 1) for i, r in enumerate(claimed)], "id string, place long")
+    return frame.select(number_of(F.col("id")).alias("id"), "place")
 
 
-@query(QUEUE_SQL + f"SELECT id, ts FROM s WHERE state = 'processing' AND {NOW} - ts >= 3600")
+@query(QUEUE_SQL + f"SELECT id, CASE WHEN n <= 10 THEN 'processing' ELSE state END AS state, CASE WHEN n <= 10 THEN {LATER} ELSE ts END AS ts FROM (SELECT *, CASE WHEN state = 'pending' THEN row_number() OVER (PARTITION BY state ORDER BY pos) END AS n FROM s) WHERE state <> 'none'")
+def queue_states_after_claims(spark, d):
+    """Two claimers after one another: five jobs each, none twice."""
+    one = queued(spark, d)
+    two = JobQueue(spark, one.log.root)
+    one.claim_many(5, now=LATER)
+    two.claim_many(5, now=LATER)
+    return states(one)
+
+
+@query(QUEUE_SQL + f"SELECT id, CASE WHEN late THEN 'pending' ELSE state END AS state, CASE WHEN late THEN NULL ELSE ts END AS ts FROM (SELECT *, coalesce(state = 'processing' AND {LATER} - ts >= {AGE}, false) AS late FROM s) WHERE state <> 'none'")
 def queue_requeue_timed_out(spark, d):
-    return jobs(spark, d).where(f"state = 'processing' and {NOW} - ts >= 3600").select("id", "ts")
+    queue = queued(spark, d)
+    queue.requeue_timed_out(AGE, now=LATER)
+    return states(queue)
 
 
-@query(QUEUE_SQL + f"SELECT id, ts FROM s WHERE state = 'done' AND {NOW} - ts >= 86400")
+@query(QUEUE_SQL + f"SELECT id, state, ts FROM s WHERE state <> 'none' AND NOT (state = 'done' AND {LATER} - ts >= {AGE})")
 def queue_purge_done(spark, d):
-    return jobs(spark, d).where(f"state = 'done' and {NOW} - ts >= 86400").select("id", "ts")
+    queue = queued(spark, d)
+    queue.purge_done(AGE, now=LATER)
+    return states(queue)
 
 
-@query(QUEUE_SQL + "SELECT id FROM s WHERE state = 'processing' AND id % 3 = 0")
+@query(QUEUE_SQL + f"SELECT id, CASE WHEN state = 'processing' AND id % 3 = 0 THEN 'done' ELSE state END AS state, CASE WHEN state = 'processing' AND id % 3 = 0 THEN {LATER} ELSE ts END AS ts FROM s WHERE state <> 'none'")
 def queue_complete_many(spark, d):
-    wanted = table(spark, d, "events").select(F.col("user_id").alias("id")).where("id % 3 = 0").distinct()
-    return jobs(spark, d).where("state = 'processing'").join(wanted, "id", "left_semi").select("id")
+    queue = queued(spark, d)
+    wanted = table(spark, d, "events").where("user_id % 3 = 0").select(made(F.col("user_id"))).distinct()
+    queue.complete_many([r[0] for r in wanted.collect()], now=LATER)  # the caller's list
+    return states(queue)
+
+
+@query(QUEUE_SQL + "SELECT count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'processing') AS processing, count(*) FILTER (state = 'done') AS done, true AS ok FROM s")
+def queue_counts_and_verify(spark, d):
+    queue = queued(spark, d)
+    found, checked = queue.counts(), queue.verify()
+    return spark.createDataFrame([(found["pending"], found["processing"], found["done"], checked["ok"])], "pending long, processing long, done long, ok boolean")
+
+
+@query(QUEUE_SQL + "SELECT id, state, ts FROM s WHERE state <> 'none'")
+def queue_compact(spark, d):
+    queue = queued(spark, d)
+    queue.compact()
+    return states(queue)
+
+
+@query("SELECT n_nationkey AS k, n_name AS name, 'pending' AS state FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey, n_name, 'processing' FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey >= 10")
+def queue_enqueue_claim_complete(spark, d):
+    """Jobs enqueued, every fifth first; those claimed, and two of them completed and forgotten."""
+    queue = JobQueue(spark, scratch(spark, "queue"))
+    rows = table(spark, d, "nation").orderBy(F.expr("n_nationkey % 5 <> 0"), "n_nationkey").collect()  # 25 rows at any size
+    queue.enqueue_many([{"payload": {"k": r.n_nationkey, "name": r.n_name}} for r in rows], now=1)
+    claimed = queue.claim_many(4, now=2) + [queue.claim(now=3)]
+    queue.complete_many([c.id for c in claimed[:2]], keep_done=False, now=4)
+    value = F.parse_json("payload")
+    return queue.jobs().select(F.variant_get(value, "$.k", "int").alias("k"), F.variant_get(value, "$.name", "string").alias("name"), "state")
+
+
+@query(QUEUE_SQL + "SELECT id, state, ts FROM s WHERE state <> 'none'")
+def queue_framed_codec(spark, d):
+    """The events as framed lines, read back by blocks and replayed."""
+    from tarn.functions.frames import framed_column
+
+    body = F.to_json(F.struct("op", "id", F.struct("commit").alias("payload"), "done", "ts"))
+    path = scratch(spark, "framed")
+    queued(spark, d).log.read().repartitionByRange("commit", "row").sortWithinPartitions("commit", "row").select(framed_column(body).alias("value")).write.text(path)
+    queue = JobQueue(spark, scratch(spark, "queue"))
+    queue.recover_framed(path)
+    return states(queue)
+
+
+# Streams: each reads what is there and ends.
+def _streamed(frame: DataFrame, mode: str, last: str | None = None) -> DataFrame:
+    """What a stream tells until its input is read: all rows, or the last batch's row of each key."""
+    spark, out = frame.sparkSession, scratch(frame.sparkSession, "streamed")
+    write = lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+    frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    if last is None:
+        return rows.drop("batch")
+    rest = [c for c in frame.columns if c != last]
+    return rows.groupBy(last).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(last, *[f"x.{c}" for c in rest])
+
+
+@query("SELECT user_id AS id, event_id AS seq FROM events WHERE user_id > 100")
+def stream_tail_after(spark, d):
+    log = logged(spark, d).log
+    after = spark.range(1).select(made(F.lit(100))).first()[0]
+    return unlogged(_streamed(tail(spark, log.root, log.schema, after).select("id", "data"), "append"), "seq")
+
+
+@query(QUEUE_SQL + "SELECT id, state, ts FROM s WHERE state <> 'none'")
+def stream_queue_states(spark, d):
+    log = queued(spark, d).log
+    rows = tail(spark, log.root, log.schema).select("id", "op", "done", "ts", F.variant_get(F.parse_json("data"), "$.event_id", "bigint").alias("seq"))
+    found = _streamed(queue_states(rows), "update", "id")
+    return found.where("state <> 'none'").select(number_of(F.col("id")).alias("id"), "state", "ts")
+
+
+@query("SELECT epoch_us(date_trunc('day', ts)) AS start, count(*) AS n FROM events GROUP BY 1")
+def stream_windowed_counts(spark, d):
+    path = scratch(spark, "events")
+    events(spark, d).select("id").write.parquet(path)
+    found = _streamed(windowed_counts(tail(spark, path, "id string"), "1 day"), "update", "start")
+    return found.select(F.unix_micros("start").alias("start"), "n")
+
+
+@query(f"SELECT k, s, p FROM {DOC_SQL}")
+def stream_mirror_push(spark, d):
+    store = stored(spark, d)
+    mirror = Mirror(spark, scratch(spark, "mirror"), "streamed_").collection(store, "orders", ORDER_SCHEMA)
+    mirror.install()
+    push_stream(tail(spark, store.log.root, store.log.schema), mirror, "orders", scratch(spark, "stream")).awaitTermination()
+    return mirror.sql("SELECT id, s, p FROM streamed_orders").select(number_of(F.col("id")).alias("k"), "s", "p")
 
 
 # Schemas.
@@ -450,18 +812,82 @@ def mirror_verify_drift(spark, d):
     return found.agg(n("action = 'insert'").alias("missing"), n("action = 'update'").alias("stale"), n("action = 'delete'").alias("orphaned"), n("action <> 'delete'").alias("records"), n("action <> 'insert'").alias("row_count"))
 
 
-@query("SELECT i.id, s.id IS NOT NULL AS upserted FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 49) i LEFT JOIN (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 11 <> 0) s ON s.id = i.id")
+MIRROR_SCHEMA = Schema("m").string("v", index=True)
+
+
+def mirror_state(spark: SparkSession, d: str) -> tuple[Mirror, DocumentStore]:
+    """A mirror that holds the older state, and its collection brought to the newer one."""
+    store = DocumentStore(spark, scratch(spark, "documents"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
+    documents = lambda f: f.select(made(F.col("id")).alias("id"), F.to_json(F.struct("v")).alias("data"))
+    store.put_frame(documents(orders.where("id % 13 <> 0")))
+    mirror = Mirror(spark, scratch(spark, "mirror"), "held_").collection(store, "m", MIRROR_SCHEMA)
+    mirror.push()
+    store.put_frame(documents(orders.where("id % 11 <> 0 and (id % 7 = 0 or id % 13 = 0)").withColumn("v", F.when(F.expr("id % 7 = 0"), "X").otherwise(F.col("v")))))
+    store.delete_frame(documents(orders.where("id % 11 = 0")))
+    return mirror, store
+
+
+def mirror_rows(mirror: Mirror) -> DataFrame:
+    return mirror.sql("SELECT id, v FROM held_m").select(number_of(F.col("id")).alias("id"), "v")
+
+
+@query(f"SELECT count(*) FILTER (a = 'insert') AS inserted, count(*) FILTER (a = 'update') AS updated, count(*) FILTER (a = 'delete') AS deleted, count(*) FILTER (a = 'unchanged') AS unchanged, count(*) FILTER (a <> 'delete') AS again, true AS ok FROM (SELECT {ACTION_SQL} AS a FROM {MIRROR_SQL})")
+def mirror_push_counts(spark, d):
+    mirror, _ = mirror_state(spark, d)
+    found, again, ok = mirror.push(), mirror.push(), mirror.verify()["ok"]
+    return spark.createDataFrame([(*found.values(), again["unchanged"], ok)], ", ".join(f"{n} long" for n in (*found, "again")) + ", ok boolean")
+
+
+@query(f"SELECT s.id, s.v FROM {MIRROR_SQL} WHERE s.id IS NOT NULL")
+def mirror_push_rows(spark, d):
+    mirror, _ = mirror_state(spark, d)
+    mirror.push()
+    return mirror_rows(mirror)
+
+
+FLUSHED_SQL = "SELECT l_orderkey FROM lineitem WHERE l_quantity > 49"
+
+
+@query(f"SELECT coalesce(s.id, t.id) AS id, CASE WHEN coalesce(s.id, t.id) IN ({FLUSHED_SQL}) THEN s.v ELSE t.v END AS v FROM {MIRROR_SQL} WHERE CASE WHEN coalesce(s.id, t.id) IN ({FLUSHED_SQL}) THEN s.id ELSE t.id END IS NOT NULL")
 def mirror_flush_ids(spark, d):
-    wanted = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("id")).distinct()
-    source = mirrored(spark, d)[0].select("id", F.lit(True).alias("here"))
-    return wanted.join(source, "id", "left").select("id", F.coalesce("here", F.lit(False)).alias("upserted"))
+    """Only the given ids are brought up to date."""
+    mirror, _ = mirror_state(spark, d)
+    mirror.flush("m", table(spark, d, "lineitem").where("l_quantity > 49").select(made(F.col("l_orderkey")).alias("id")).distinct())
+    return mirror_rows(mirror)
 
 
-@query(f"SELECT t.id, t.v FROM {MIRROR_SQL} WHERE t.id IS NOT NULL AND (s.id IS NULL OR s.v <> t.v)")
+@query(f"SELECT count(*) FILTER (here) AS upserted, count(*) FILTER (NOT here) AS deleted FROM (SELECT DISTINCT l_orderkey, l_orderkey % 11 <> 0 AS here FROM lineitem WHERE l_quantity > 49)")
+def mirror_flush_counts(spark, d):
+    mirror, _ = mirror_state(spark, d)
+    found = mirror.flush("m", table(spark, d, "lineitem").where("l_quantity > 49").select(made(F.col("l_orderkey")).alias("id")).distinct())
+    return one_row(spark, **found)
+
+
+@query(f"SELECT coalesce(t.id, s.id) AS id, CASE WHEN t.id IS NULL THEN s.v ELSE t.v END AS v FROM {MIRROR_SQL}")
 def mirror_pull_merge(spark, d):
-    source, target = mirrored(spark, d)
-    both = target.join(source.select("id", F.col("hash").alias("old")), "id", "left")
-    return both.where("old is null or old <> hash").select("id", "v")
+    """What the collection holds after the mirror's rows came back: nothing is deleted there."""
+    mirror, store = mirror_state(spark, d)
+    mirror.pull()
+    return store.frame().select(number_of(F.col("id")).alias("id"), F.variant_get(F.parse_json("data"), "$.v", "string").alias("v"))
+
+
+@query(f"SELECT count(*) FILTER (s.id IS NOT NULL) AS inserted, count(*) FILTER (s.id IS NOT NULL) AS table_rows, 0::BIGINT AS tables_after FROM {MIRROR_SQL}")
+def mirror_rebuild_and_uninstall(spark, d):
+    mirror, _ = mirror_state(spark, d)
+    inserted, rows = mirror.rebuild()["inserted"], mirror_rows(mirror).count()
+    mirror.uninstall()
+    return one_row(spark, inserted=inserted, table_rows=rows, tables_after=int(spark.catalog.tableExists("held_m")))
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0")
+def sql_row_source(spark, d):
+    """A query's rows as records of a store."""
+    table(spark, d, "orders").createOrReplaceTempView("tarn_source")
+    store = DocumentStore(spark, scratch(spark, "documents"))
+    rows = spark.sql("SELECT o_orderkey AS k, o_orderstatus AS s FROM tarn_source WHERE o_orderkey % 2 = 0")
+    store.put_frame(rows.select(made(F.col("k")).alias("id"), F.to_json(F.struct("s")).alias("data")))
+    return store.stream().select(number_of(F.col("id")).alias("k"), F.variant_get(F.parse_json("data"), "$.s", "string").alias("s"))
 
 
 def _sql(name: str, text: str) -> None:
@@ -485,11 +911,11 @@ _sql("mirror_sql_indexed_count", "SELECT count(*) AS n FROM {orders} WHERE o_ord
 _sql("mirror_sql_substring_search", "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE '%re%'")
 _sql("mirror_sql_left_join", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
 _sql("mirror_sql_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
-_sql("mirror_sql_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+_sql("mirror_sql_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _sql("mirror_sql_window", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders}")
 _sql("mirror_sql_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey AS k FROM {supplier}")
 _sql("mirror_sql_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey AS k FROM {supplier}")
-_sql("mirror_sql_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey AS k FROM {supplier}")
+_sql("mirror_sql_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey AS k FROM {supplier} WHERE s_suppkey % 3 = 0")
 _sql("mirror_sql_rollup", "SELECT r_name, n_name, count(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 _sql("mirror_sql_having", "SELECT l_suppkey, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} WHERE l_quantity > 10 GROUP BY l_suppkey HAVING count(*) > 20")
 

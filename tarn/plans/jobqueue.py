@@ -12,6 +12,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 from tarn.functions import ids
 from tarn.functions.jsonc import compact
 from tarn.plans.oplog import POSITION, OpLog
+from tarn.sources.records import QUEUE_OPERATIONS, before_first_bad, read_framed_log
 
-OPERATIONS = ("enqueue", "claim", "complete", "requeue", "purge")
 EXTRA = (("done", T.BooleanType()), ("ts", T.LongType()))
 
 
@@ -54,6 +55,28 @@ def fold(events: DataFrame, position: str = "seq") -> DataFrame:
     return all_.select("id", state.alias("state"), pos.alias("pos"), ts.alias("ts"), F.when(state != "done", F.col("payload")).alias("payload")).where("state is not null")
 
 
+def replayed(events: DataFrame) -> DataFrame:
+    """id, state and ts of every job that is not none, by running its events in order. A check: a job's events meet in one task."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state, ts = "none", None
+        for e in rows.sort_values(["commit", "row"]).itertuples():
+            if e.op == "enqueue":
+                state, ts = "pending", None
+            elif e.op == "complete":
+                state, ts = ("done", e.ts) if e.done is True or e.done == 1 else ("none", None)
+            elif e.op == "claim" and state == "pending":
+                state, ts = "processing", e.ts
+            elif e.op == "requeue" and state == "processing":
+                state, ts = "pending", None
+            elif e.op == "purge" and state == "done":
+                state, ts = "none", None
+        return pd.DataFrame({"id": [key[0]], "state": [state], "ts": pd.array([None if ts is None else int(ts)], "Int64")})
+
+    rows = events.select("id", "op", "done", "ts", "seq.commit", "seq.row")
+    return rows.groupBy("id").applyInPandas(run, "id string, state string, ts long").where("state <> 'none'")
+
+
 class JobQueue:
     """First in, first out. Times are seconds; `now` may be given so that a run can be repeated."""
 
@@ -67,12 +90,12 @@ class JobQueue:
     def jobs(self) -> DataFrame:
         return fold(self.events())
 
-    def _add(self, rows: Iterable[tuple], now: int | None) -> int:
+    def _add(self, rows: Iterable[tuple], now: int | None, after: int | None = None) -> int:
         rows = [(op, id_, data, done, int(time.time()) if now is None else now) for op, id_, data, done in rows]
-        return self.log.append(self.spark.createDataFrame(rows, "op string, id string, data string, done boolean, ts long").coalesce(1)) if rows else 0
+        return self.log.append(self.spark.createDataFrame(rows, "op string, id string, data string, done boolean, ts long").coalesce(1), after=after) if rows else 0
 
-    def _add_frame(self, op: str, frame: DataFrame, now: int | None, order: tuple = ()) -> int:
-        return self.log.append(frame.withColumns({"op": F.lit(op), "done": F.lit(None).cast("boolean"), "ts": F.lit(int(time.time()) if now is None else now).cast("long"), "data": F.lit(None).cast("string")}), order)
+    def _add_frame(self, op: str, frame: DataFrame, now: int, order: tuple, after: int) -> int:
+        return self.log.append(frame.withColumns({"op": F.lit(op), "done": F.lit(None).cast("boolean"), "ts": F.lit(now).cast("long"), "data": F.lit(None).cast("string")}), order, after)
 
     def enqueue(self, payload: object, id_: str | None = None, now: int | None = None) -> str:
         id_ = ids.checked(id_) if id_ else self.make_id()
@@ -98,12 +121,17 @@ class JobQueue:
         return self.jobs().where("state = 'pending'").orderBy("pos")
 
     def claim_many(self, n: int, now: int | None = None) -> list[Row]:
-        """The n jobs that have been pending longest, by place, now processing."""
+        """The n jobs that have been pending longest, by place, now processing. A claim that another writer overtakes is made again,
+        so no job is given twice."""
         if n < 1:
             raise ValueError("claim at least one job")
-        jobs = self.pending().limit(n).select("id", "payload").collect()
-        self._add([("claim", j.id, None, None) for j in jobs], now)
-        return jobs
+
+        def step(after: int) -> list[Row]:
+            jobs = self.pending().limit(n).select("id", "payload").collect()
+            self._add([("claim", j.id, None, None) for j in jobs], now, after)
+            return jobs
+
+        return self.log.exclusively(step)
 
     def claim(self, now: int | None = None) -> Row | None:
         return next(iter(self.claim_many(1, now)), None)
@@ -111,8 +139,12 @@ class JobQueue:
     def complete_many(self, id_list: Iterable[str], keep_done: bool = True, now: int | None = None) -> int:
         """Ends those of the jobs that are processing; returns their number."""
         wanted = self.spark.createDataFrame([(i,) for i in dict.fromkeys(map(ids.checked, id_list))], "id string")
-        found = self.jobs().where("state = 'processing'").join(wanted, "id", "left_semi").select("id").collect()
-        return self._add([("complete", r.id, None, keep_done) for r in found], now)
+
+        def step(after: int) -> int:
+            found = self.jobs().where("state = 'processing'").join(wanted, "id", "left_semi").select("id").collect()
+            return self._add([("complete", r.id, None, keep_done) for r in found], now, after)
+
+        return self.log.exclusively(step)
 
     def complete(self, id_: str, keep_done: bool = True, now: int | None = None) -> None:
         self.complete_many([id_], keep_done, now)
@@ -120,15 +152,31 @@ class JobQueue:
     def requeue_timed_out(self, seconds: int, now: int | None = None) -> int:
         """Jobs claimed at least so long ago go to the end."""
         at = int(time.time()) if now is None else now
-        late = self.jobs().where((F.col("state") == "processing") & (F.lit(at) - F.col("ts") >= seconds)).select("id", F.col("ts").alias("since"))
-        return 0 if late.isEmpty() else self._add_frame("requeue", late, at, ("since", "id"))
+
+        def step(after: int) -> int:
+            late = self.jobs().where((F.col("state") == "processing") & (F.lit(at) - F.col("ts") >= seconds)).select("id", F.col("ts").alias("since"))
+            return 0 if late.isEmpty() else self._add_frame("requeue", late, at, ("since", "id"), after)
+
+        return self.log.exclusively(step)
 
     def purge_done(self, older_than: int = 0, now: int | None = None) -> int:
         """Forgets done jobs of at least that age; 0 forgets all."""
         at = int(time.time()) if now is None else now
-        done = self.jobs().where("state = 'done'")
-        done = done if older_than == 0 else done.where(F.lit(at) - F.col("ts") >= older_than)
-        return 0 if done.isEmpty() else self._add_frame("purge", done.select("id"), at, ("id",))
+
+        def step(after: int) -> int:
+            done = self.jobs().where("state = 'done'")
+            done = done if older_than == 0 else done.where(F.lit(at) - F.col("ts") >= older_than)
+            return 0 if done.isEmpty() else self._add_frame("purge", done.select("id"), at, ("id",), after)
+
+        return self.log.exclusively(step)
+
+    def import_framed(self, good: DataFrame) -> int:
+        """Appends the events of framed log lines in their order."""
+        return self.log.append(good.select("op", "id", "data", "done", "ts", "file", "line"), ("file", "line"))
+
+    def recover_framed(self, path: str, now: int | None = None) -> int:
+        """Appends what a queue's framed log files hold before their first bad line; each file is cut there."""
+        return self.import_framed(before_first_bad(*read_framed_log(self.spark, path, "payload", QUEUE_OPERATIONS, int(time.time()) if now is None else now)))
 
     def counts(self) -> dict:
         found = {r.state: r.n for r in self.jobs().groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -138,9 +186,13 @@ class JobQueue:
         return self.counts() | {"bytes": self.log.bytes()}
 
     def verify(self) -> dict:
-        """Events that no queue writes."""
-        bad = self.log.read().where(~F.col("op").isin(*OPERATIONS) | ~ids.valid_column(F.col("id")) | F.col("ts").isNull())
+        """Events that no queue writes, and jobs whose folded state is not that of a replay, event by event."""
+        bad = self.log.read().where(~F.col("op").isin(*QUEUE_OPERATIONS) | ~ids.valid_column(F.col("id")) | F.col("ts").isNull())
         errors = [f"{r.commit}:{r.row}: {r.op} {r.id}" for r in bad.limit(100).collect()]
+        if not errors:
+            state, folded = replayed(self.events()), self.jobs().select("id", "state", "ts")
+            drift = folded.exceptAll(state).unionAll(state.exceptAll(folded))
+            errors += [f"{r.id}: state drift" for r in drift.limit(100).collect()]
         return {"ok": not errors, "errors": errors, "stats": self.stats()}
 
     def repair(self, timeout: int = 3600, now: int | None = None) -> dict:
@@ -148,9 +200,12 @@ class JobQueue:
 
     def compact(self) -> dict:
         """Only what the jobs' states need stays: an enqueue and a claim, or a done complete, in their places."""
-        rows, jobs = self.log.read(), self.jobs().select("id", "state", F.col("pos").alias("at"), F.col("ts").alias("since"), F.col("payload"))
-        n = self.log.replace(_needed(rows, jobs))
-        return {"ok": True, "records": n}
+
+        def made() -> DataFrame:
+            rows, jobs = self.log.read(), self.jobs().select("id", "state", F.col("pos").alias("at"), F.col("ts").alias("since"), F.col("payload"))
+            return _needed(rows, jobs)
+
+        return {"ok": True, "records": self.log.replace(made)}
 
 
 def _needed(rows: DataFrame, jobs: DataFrame) -> DataFrame:

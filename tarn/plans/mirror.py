@@ -101,10 +101,16 @@ class Mirror:
         total = dict.fromkeys(("inserted", "updated", "deleted", "unchanged"), 0)
         words = {"insert": "inserted", "update": "updated", "delete": "deleted", "unchanged": "unchanged"}
         for n in self._names(name):
-            held, source = self._held(n), self._source(n)
-            found = {words[r.action]: r["count"] for r in differences(source, held.read()).groupBy("action").count().collect()}
-            if any(found.get(k) for k in ("inserted", "updated", "deleted")):
-                held.replace(source)
+            held = self._held(n)
+
+            def step(after: int, n: str = n, held: VersionedTable = held) -> dict:
+                source = self._source(n)
+                found = {words[r.action]: r["count"] for r in differences(source, held.read()).groupBy("action").count().collect()}
+                if any(found.get(k) for k in ("inserted", "updated", "deleted")):
+                    held.replace(source, after)
+                return found
+
+            found = held.versions.exclusively(step)
             total = {k: v + found.get(k, 0) for k, v in total.items()}
         self.install()
         return total
@@ -121,10 +127,15 @@ class Mirror:
         self._names(name)
         wanted = id_list if isinstance(id_list, DataFrame) else self.spark.createDataFrame([(i,) for i in id_list], "id string")
         wanted = wanted.select("id").distinct()
-        held, store = self._held(name), self._source(name).join(wanted, "id", "left_semi")
-        rest = held.read().join(wanted, "id", "left_anti")
-        held.replace(rest.unionByName(store))
-        upserted = store.count()
+        held = self._held(name)
+
+        def step(after: int) -> int:
+            store = self._source(name).join(wanted, "id", "left_semi")
+            rest = held.read().join(wanted, "id", "left_anti")
+            held.replace(rest.unionByName(store), after)
+            return store.count()
+
+        upserted = held.versions.exclusively(step)
         self.install()
         return {"upserted": upserted, "deleted": wanted.count() - upserted}
 

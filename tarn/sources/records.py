@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tarn.functions.frames import unframed_column
 from tarn.functions.jsonc import canonical_column
 
 ENVELOPE = "id string, data string"
+LOG_OPERATIONS = ("put", "delete")
+QUEUE_OPERATIONS = ("enqueue", "claim", "complete", "requeue", "purge")
 
 
 def is_object(text: Column) -> Column:
@@ -35,10 +39,15 @@ def enveloped(frame: DataFrame, text: str = "value", payload: str = "data") -> D
 
 
 def with_new_ids(frame: DataFrame, first_ms: int) -> DataFrame:
-    """Records without an id get one from a time and their place; places are unique, so ids are."""
+    """Records without an id get one from a time, their place and 30 random bits of this import: places are unique within an
+    import, and the bits tell imports of one millisecond apart."""
     place = F.monotonically_increasing_id()
     # a place takes 62 bits at most; its high bits move the time on, so the order of places is the order of ids
-    made = ids.made_column(F.lit(first_ms) + F.shiftright(place, 40), place % F.lit(1 << 40))
+    salt = secrets.randbits(30)
+    low = F.shiftright(place, 26).bitwiseAND(F.lit((1 << 14) - 1)), place.bitwiseAND(F.lit((1 << 26) - 1))
+    ms = F.lit(first_ms) + F.shiftright(place, 40)
+    # 12 bits, 14 bits and 48 bits of the version, variant and last group
+    made = F.format_string("%08x-%04x-7%03x-%04x-%012x", (ms / 65536).cast("long"), ms % 65536, F.lit(salt >> 18), F.lit(0x8000) + low[0], low[1] * F.lit(1 << 18) + F.lit(salt & ((1 << 18) - 1)))
     return frame.withColumn("id", F.coalesce("id", made))
 
 
@@ -67,17 +76,23 @@ def read_json_lines(spark: SparkSession, path: str, first_ms: int) -> tuple[Data
     return with_new_ids(enveloped(lines.where(good)).select("id", "data"), first_ms), bad
 
 
-def read_framed_log(spark: SparkSession, path: str, payload: str = "data") -> tuple[DataFrame, DataFrame]:
-    """(good: file, line, op, id, data, done, ts; bad: file, line, error) of framed log files; lines count from 0 within a
-    file. A queue's events have their data under "payload", and done and ts; those are null in other logs."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+def read_framed_log(spark: SparkSession, path: str, payload: str = "data", operations: tuple[str, ...] | None = None, now: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good: file, line, op, id, data, done, ts; bad: file, line, error) of framed log files; `line` orders a file's lines: the
+    start of the block that was read and the row. A queue's events have their data under "payload", and done and ts; a
+    missing ts is `now`; those are null in other logs. An operation that is not listed and an id that is no UUID version 7 are bad.
+
+    Files are read by lines in blocks, so a file of any length is read by many tasks."""
+    operations = operations or (LOG_OPERATIONS if payload == "data" else QUEUE_OPERATIONS)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    block = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    whole = lines.select(F.col("_metadata.file_path").alias("file"), block.alias("line"), "value")
     framed = whole.where("value <> ''").withColumn("body", unframed_column(F.col("value")))
     value = F.try_parse_json("body")
     framed = framed.withColumns({"op": F.try_variant_get(value, "$.op", "string"), "id": F.try_variant_get(value, "$.id", "string")})
-    fine = F.col("body").isNotNull() & F.col("op").isNotNull() & F.col("id").isNotNull()
-    more = [F.try_variant_get(value, "$.done", "boolean").alias("done"), F.try_variant_get(value, "$.ts", "bigint").alias("ts")]
+    fine = F.coalesce(F.col("body").isNotNull() & F.col("op").isin(*operations) & ids.valid_column(F.col("id")), F.lit(False))
+    more = [F.try_variant_get(value, "$.done", "boolean").alias("done"), F.coalesce(F.try_variant_get(value, "$.ts", "bigint"), F.lit(now).cast("long")).alias("ts")]
     good = framed.where(fine).select("file", "line", "op", "id", member(F.col("body"), payload).alias("data"), *more)
-    error = F.when(F.col("body").isNull(), "broken frame").otherwise("no op or id")
+    error = F.when(F.col("body").isNull(), "broken frame").when(F.col("op").isNull() | F.col("id").isNull(), "no op or id").when(~F.col("op").isin(*operations), "unknown op").otherwise("no valid id")
     return good, framed.where(~fine).select("file", "line", error.alias("error"))
 
 

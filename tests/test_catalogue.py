@@ -42,7 +42,7 @@ def test_entry_reads_only(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name, column", [("filter_eq", "event_type"), ("filter_neq", "event_type"), ("filter_gt", "value"), ("filter_in", "event_type"), ("filter_between", "value"), ("filter_prefix", "p_name"), ("dnf_or_where", "event_type"), ("log_live_filtered_by_id_first", "user_id")])
+@pytest.mark.parametrize("name, column", [("filter_eq", "event_type"), ("filter_neq", "event_type"), ("filter_gt", "value"), ("filter_in", "event_type"), ("filter_between", "value"), ("filter_prefix", "p_name"), ("dnf_or_where", "event_type"), ("log_live_filtered_by_id_first", "id")])
 def test_filters_reach_the_scan(spark, name, column):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()

@@ -141,7 +141,7 @@ def test_framed_log(spark, tmp_path):
     lines = [frames.frame(json.dumps({"op": "put", "id": made(i), "data": {"n": i}})) for i in range(5)]
     (tmp_path / "seg").write_text("".join(lines[:3]) + lines[3].replace('"n": 3', '"n": 4') + lines[4])
     good, bad = records.read_framed_log(spark, str(tmp_path / "seg"))
-    assert good.count() == 4 and [(r.line, r.error) for r in bad.collect()] == [(3, "broken frame")]
+    assert good.count() == 4 and [(r.line.row, r.error) for r in bad.collect()] == [(3, "broken frame")]
     log = EventLog(spark, str(tmp_path / "l"))
     assert log.import_framed(records.before_first_bad(good, bad)) == 3
     assert [d["n"] for _, d in contents(log.stream())] == [0, 1, 2]
@@ -167,7 +167,7 @@ def test_versions_do_not_overwrite_each_other(spark, tmp_path):
     assert v.commit(0, {"x": 1}) == 1 and v.latest() == (1, {"x": 1})
     with pytest.raises(StoreError):
         v.commit(0, {"x": 2})
-    assert v.latest() == (1, {"x": 1}) and namespace("a b//c..") == "a-b-c" and namespace("/") == "runtime-storage"
+    assert v.latest() == (1, {"x": 1}) and namespace("a b//c..") == "a-b-c" and namespace("/") == "records"
 
 
 def test_files_hold_so_many_rows(spark, tmp_path):
