@@ -26,13 +26,6 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-def license_scan_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 1 with hard-wrapped notices; op1_license_scan keeps to lines, as its SQL does."""
-    from tarn.llm.licenses import scan
-
-    return scan(table(spark, sf_dir, "documents"), across_lines=True)
-
-
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarn.llm.pii import personal_data
 
@@ -115,7 +108,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_i
 
 
 def op1_sql() -> str:
-    """The scan's definition: places of the phrases, and the notices that a block of a line holds."""
+    """The scan's definition: places of the phrases, and the notices that a block of a line or of the whole text holds."""
     from tarn.llm import licenses as L
 
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,7 +122,7 @@ WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, {split("coalesce(text,
 phrases(p, label) AS (VALUES {phrases}), notices(t, label) AS (VALUES {notices}),
 places AS (SELECT doc_id, label, unnest([i - 1 FOR i IN range(1, len(w) + 1) IF w[i:i + len(p) - 1] = p]) AS pos FROM texts, phrases),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, {split("line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
+lines AS (SELECT doc_id, {split("line")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) UNION ALL SELECT doc_id, w FROM texts),
 blocks AS (SELECT doc_id, list_distinct(w[pos + 1:pos + {L.BLOCK}]) AS b FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - {half} - 1) + 1, {half})) AS pos FROM lines)),
 hits AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, notices WHERE len(list_intersect(b, t)) >= ceil({L.THRESHOLD} * len(t))),
 found AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(share) AS share FROM hits GROUP BY doc_id)
@@ -140,12 +133,6 @@ SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, coalesce(b.n, 0) AS n_base
 FROM texts t LEFT JOIN base b USING (doc_id) LEFT JOIN found f USING (doc_id)"""
 
 
-def across_lines_sql() -> str:
-    """The same with the whole text as one line more."""
-    lines = "AS line FROM texts)),"
-    return op1_sql().replace(lines, lines[:-2] + " UNION ALL SELECT doc_id, w FROM texts),")
-
-
 def op9_sql() -> str:
     """The rules' definition, with the thresholds of the operator."""
     from tarn.llm import quality as Q
@@ -178,9 +165,9 @@ FROM all_"""
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, license_scan_across_lines, op2_personal_data, op3_packing, op4_jaccard_join, op5_url_filter, op6_decontamination, op7_repeated_strings, op8_html_text, op9_quality, op10_token_output)
+    own = (op1_license_scan, op2_personal_data, op3_packing, op4_jaccard_join, op5_url_filter, op6_decontamination, op7_repeated_strings, op8_html_text, op9_quality, op10_token_output)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": op1_sql(), "license_scan_across_lines": across_lines_sql(), "op4_jaccard_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_quality": op9_sql()}
+    return {"op1_license_scan": op1_sql(), "op4_jaccard_join": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_quality": op9_sql()}
