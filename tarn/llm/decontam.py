@@ -6,13 +6,17 @@ match. Tiling takes the longest match, marks its words in item and text, cuts wh
 while a match of k words is left, so passages that come back reordered are covered piece by piece. An item's coverage is
 the share of its words that are marked; a text is contaminated if an item's coverage reaches `threshold`.
 
-Documents are never shuffled. The items are held by every task as a sorted seed table; they are dealt to as many blocks as
-keep a block within BLOCK_CHARS, and the documents pass each block in turn, so a larger benchmark costs more passes and
-not more memory.
+Hits are equal hashes; a tile counts once its words are compared.
 
-Defined results: null or empty texts and items match nothing; an item shorter than k words is matched as a whole, and one
-with fewer than LEAST_WORDS words is too short to tell anything and is ignored; null item ids are kept as ids; repeated
-items count once each; rows of one doc_id, null included, are reported together; other columns pass through untouched.
+Documents are never shuffled. The items are held by every task as a sorted seed table; they are dealt to as many blocks as
+keep a block within BLOCK_CHARS, and the documents pass each block in turn. Beyond one block, what a pass found is stored
+before the next block is broadcast, so a larger benchmark costs more passes and not more memory.
+
+Defined results: null or empty texts and items match nothing; an item shorter than k words, down to one, is matched as a
+whole wherever its words stand in a row; of equally long matches the one that comes first in item and text is taken; texts
+of any length are tiled whole; a null item id is reported as "null" and counts as an id; repeated items count once each;
+rows of one doc_id, null included, are reported together; an empty table on either side contaminates nothing; other
+columns, of any name, pass through untouched.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import U64, Rolling, flat, owners, slices, word_hashes, words
+from tarn.llm.common import U64, Rolling, flat, keep, owners, slices, word_hashes, words
 
-SEED_WORDS, THRESHOLD, LEAST_WORDS = 5, 0.5, 4
+SEED_WORDS, THRESHOLD = 5, 0.5
 BLOCK_CHARS = 8 << 20
 #: Bytes of words, and what A-Z become.
 IS_WORD = np.zeros(256, bool)
@@ -78,19 +82,19 @@ class Seeds:
     """The windows of a block of items, by hash."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], k: int):
-        self.ids, self.sizes, found = [], [], defaultdict(list)
+        self.ids, self.words, found = [], [], defaultdict(list)
         for item, text in items:
             data, offsets = flat(pa.array([text or ""], pa.large_string()))
             data = LOWER[data]
             starts, ends, _ = words(data, offsets, IS_WORD)
-            if len(starts) < LEAST_WORDS:
+            if not len(starts):
                 continue
             n = min(k, len(starts))
             hashes = word_hashes(data, starts, ends, IS_WORD)
             for place, key in enumerate(Rolling(hashes).windows(n).tolist()):
                 found[n, key].append((len(self.ids), place))
             self.ids.append(item)
-            self.sizes.append(len(starts))
+            self.words.append([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         self.by_length = {}
         for n in {n for n, _ in found}:
             keys = np.array(sorted(key for m, key in found if m == n), U64)
@@ -117,24 +121,26 @@ class Seeds:
                     pairs[text, item, n].append((i, j - int(first[text])))
         out: list[dict[int, float]] = [{} for _ in range(len(column))]
         for (text, item, n), own in pairs.items():
-            out[text][item] = sum(length for _, _, length in tiles(own, n)) / self.sizes[item]
+            held, begin = self.words[item], int(first[text])
+            same = lambda i, j: held[i] == data[starts[begin + j] : ends[begin + j]].tobytes()  # noqa: E731, B023
+            out[text][item] = sum(length for i, j, length in tiles(own, n) if all(same(i + x, j + x) for x in range(length))) / len(held)
         return out
 
 
-def item_blocks(benchmark: DataFrame, k: int) -> Iterator[Seeds]:
-    """The items in blocks of bounded size, each collected in turn."""
+def item_blocks(benchmark: DataFrame, k: int) -> Iterator[tuple[Seeds, bool]]:
+    """The items in blocks of bounded size, each collected in turn, and whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = -(-total // BLOCK_CHARS)
     for b in range(blocks):
-        yield Seeds([tuple(r) for r in items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {b}")).collect()], k)
+        yield Seeds([tuple(r) for r in items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {b}")).collect()], k), blocks == 1
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = SEED_WORDS) -> DataFrame:
     """One row for each contaminated doc_id: its items, the greatest coverage, and contaminated (true)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
-    for seeds in item_blocks(benchmark, k):
+    for seeds, alone in item_blocks(benchmark, k):
         held = rows.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -145,20 +151,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "coverage"])
 
-        parts.append(rows.mapInArrow(run, "doc_id long, item_id long, coverage double"))
+        part = rows.mapInArrow(run, "doc_id long, item_id long, coverage double")
+        if not alone:
+            part = keep(part, "contaminated")
+            held.unpersist()
+        parts.append(part)
     if not parts:
         parts = [rows.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double")]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)
-    listed = F.concat_ws(",", F.transform(F.array_sort(F.collect_set("item_id")), lambda x: x.cast("string")))
-    return found.groupBy("doc_id").agg(listed.alias("item_ids"), F.countDistinct("item_id").alias("n_items"), F.max("coverage").alias("coverage")).withColumn("contaminated", F.lit(True))
+    items = F.array_sort(F.collect_set(F.struct("item_id")))
+    listed = F.array_join(F.transform(items, lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null"))), ",")
+    return found.groupBy("doc_id").agg(listed.alias("item_ids"), F.size(items).cast("long").alias("n_items"), F.max("coverage").alias("coverage")).withColumn("contaminated", F.lit(True))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, k: int = SEED_WORDS) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
     schema = documents.schema
-    for seeds in item_blocks(benchmark, k):
+    for seeds, alone in item_blocks(benchmark, k):
         held = documents.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -167,4 +178,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, threshold: float
                     yield part.filter(pa.array([max(found.values(), default=0.0) < threshold for found in held.value.coverage(column)]))
 
         documents = documents.mapInArrow(run, schema)
+        if not alone:
+            documents = keep(documents, "decontaminated")
+            held.unpersist()
     return documents
