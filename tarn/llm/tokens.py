@@ -11,8 +11,10 @@ Elias-Fano code of the document ends, and all ids in one array. Offsets come fro
 high bits' ones; no table of 64-bit offsets is stored or made.
 
 Documents are dealt to shards by ranges of doc_id, so shard order is corpus order; each task writes its shard whole under
-a name fixed by its number, and a repeated task replaces it. Null ids come first, rows of one id are ordered by text.
-Null or empty texts hold the end id alone. Empty tables give no shards and no rows; other columns are ignored.
+a name fixed by its number, and a repeated task replaces it. Null ids come first, rows of one id are ordered by a hash of
+their text, and may lie in several shards. A task holds its shard's ids, so shards are as large as partitions are. Null or
+empty texts hold the end id alone; a text of any length is encoded whole; repeated rows are written each. Empty tables
+give no shards and no rows; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -120,8 +122,13 @@ class EliasFano:
 
     def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray):
         self.n, self.low, self.lows, self.highs = n, low, lows, highs
-        #: the place of every SAMPLE-th one among the high bits
-        self.samples = np.flatnonzero(np.unpackbits(highs, bitorder="little"))[::SAMPLE].astype(np.uint32)
+        #: the place of every SAMPLE-th one among the high bits, from the ones in the bytes before it
+        before = np.cumsum(np.bitwise_count(highs), dtype=np.uint32)
+        wanted = np.arange(0, n, SAMPLE, dtype=np.uint32)
+        byte = np.searchsorted(before, wanted, side="right")
+        bits = np.cumsum(np.unpackbits(highs[byte, None], axis=1, bitorder="little"), axis=1)
+        left = wanted - (before[byte] - np.bitwise_count(highs[byte]))
+        self.samples = (byte * 8 + (bits <= left[:, None]).sum(axis=1)).astype(np.uint32)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -161,10 +168,18 @@ class EliasFano:
             left -= len(ones)
             byte += SAMPLE
 
-    def all(self) -> np.ndarray:
-        """Every number."""
-        i = np.arange(self.n)
-        return self._values(i, np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n])
+    def run(self, k: int) -> np.ndarray:
+        """The numbers from the k-th sampled one to the next: a select for all of them, over the high bits between the two."""
+        start = int(self.samples[k])
+        stop = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.highs)
+        ones = np.flatnonzero(np.unpackbits(self.highs[start >> 3 : (stop + 7) >> 3], bitorder="little")) + (start >> 3) * 8
+        ones = ones[(ones >= start) & (ones < stop)]
+        return self._values(k * SAMPLE + np.arange(len(ones)), ones)
+
+    def numbers(self) -> Iterator[int]:
+        """Every number in turn; SAMPLE of them are held at a time."""
+        for k in range(len(self.samples)):
+            yield from self.run(k).tolist()
 
 
 class Shard:
@@ -196,10 +211,10 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, ids before it in the shard, ids) of every document."""
-        keys, ends, start = self.keys.all().tolist(), self.ends.all().tolist(), 0
-        for i, end in enumerate(ends):
-            yield None if i < self.nulls else self.least + keys[i - self.nulls], start, self.ids[start:end]
+        """(doc_id, ids before it in the shard, ids) of every document, by selects along the high bits."""
+        keys, start = self.keys.numbers(), 0
+        for i, end in enumerate(self.ends.numbers()):
+            yield None if i < self.nulls else self.least + next(keys), start, self.ids[start:end]
             start = end
 
 
@@ -223,7 +238,10 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int, folder: str)
             yield pa.RecordBatch.from_pydict({"shard": [number], "file": [file], "n_docs": [len(names)], "n_ids": [len(ids)]})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one id are parted by a hash of the text, and equal rows by their place in the input
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return documents.sparkSession.read.parquet(f"{folder}/manifest")
 

@@ -8,7 +8,8 @@ from tokenizers import Tokenizer
 
 from tarn.llm.packing import pack, windows
 from tarn.llm.queries import tokenizer_path
-from tarn.llm.tokens import EliasFano, Shard, encoder, token_output
+from tarn.llm.common import shared_folder
+from tarn.llm.tokens import EliasFano, Shard, encoder, read_tokens, token_output, write_tokens
 
 
 def ids_of(name, text):
@@ -33,7 +34,7 @@ def test_encoder_gives_the_tokenizers_ids(name, texts):
 def test_elias_fano_round_trip(n, most):
     values = np.sort(np.random.default_rng(n).integers(0, most, n))
     code = EliasFano.read(memoryview(EliasFano.of(values).to_bytes()))
-    assert code.all().tolist() == values.tolist()
+    assert list(code.numbers()) == values.tolist()
     assert all(code.select(i) == values[i] for i in range(n))
 
 
@@ -51,14 +52,24 @@ def test_shard_round_trip():
 
 def test_token_output_against_the_tokenizer(documents, texts):
     name = "word_bpe_49k.json"
-    ordered = sorted(texts, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    want, start = [], 0
-    for doc, text in ordered:
+    want = {}
+    for doc, text in texts:
         ids = [*ids_of(name, text), 1]
-        want.append((doc, start, len(ids), crc(ids)))
-        start += len(ids)
-    got = [tuple(r) for r in token_output(documents, tokenizer_path(name)).collect()]
-    assert sorted(got, key=lambda r: r[1]) == want
+        want.setdefault(doc, []).append((len(ids), crc(ids)))
+    got = sorted((tuple(r) for r in token_output(documents, tokenizer_path(name)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((d for d, _ in texts), key=lambda d: (d is not None, d or 0))
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got]).tolist()[:-1]]
+    for doc, own in want.items():
+        assert sorted(own) == sorted((n, c) for d, _, n, c in got if d == doc)
+
+
+def test_one_id_for_most_rows_is_written_by_many_tasks(spark):
+    docs = spark.createDataFrame([(None if i % 3 else 5, f"text {i % 40}") for i in range(600)], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = write_tokens(docs, tokenizer_path("word_bpe_49k.json"), 1, shared_folder(spark, "test"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1 and max(r.n_docs for r in manifest.collect()) < 400
+    assert read_tokens(manifest).groupBy("doc_id").count().where("doc_id = 5").first()["count"] == 200
 
 
 def test_token_output_of_nothing(nothing):
