@@ -7,7 +7,7 @@ Pages are judged one by one in one pass without a shuffle.
 
 Defined results: null, empty and tag-only pages give an empty text; pages of any length and depth are read whole and
 without recursion; unclosed tags, comments and quotes end where the page does; repeated rows give repeated results; null
-ids and urls stay null; other columns pass by unread.
+ids and urls stay null; an empty table gives no rows; other columns pass by unread.
 """
 
 from __future__ import annotations

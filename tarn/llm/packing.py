@@ -10,7 +10,8 @@ Blocks are made within a task, so nothing is shuffled and a task's memory is bou
 sequence ids are the task's number and a count within it. The last block of a task is smaller; its padding is below one
 window in addition. A repeated task packs the same rows alike if its input comes in the same order, as files do.
 
-Defined results: a null or empty text is the closing id alone; repeated rows are packed each; an empty table gives no
+Defined results: a null or empty text is the closing id alone; a text of any length is cut into whole windows and pieces; of
+pieces of one size the earlier is merged first; repeated rows are packed each; an empty table gives no
 rows; null doc_ids stay null; other columns are ignored.
 """
 

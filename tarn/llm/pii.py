@@ -10,8 +10,10 @@ kind), half of them held out to set the threshold at PRECISION.
 Patterns are written so that they match what the plain ones match without backtracking: a repeated part that nothing can
 shorten is possessive, and a run is tried from its first character or the end of the match before it.
 
-Defined results: a null or empty text has no spans, and a null text stays null when redacted; a span found twice is
-reported once; repeated rows give repeated results; null ids stay null; other columns pass through untouched.
+Defined results: a null or empty text has no spans, and a null text stays null when redacted; a text of any length is
+searched whole; a span found twice is reported once, spans that start alike are ordered by their end, and where they overlap
+the first one's kind stands for all when redacted; repeated rows give repeated results; an empty table gives no rows; null
+ids stay null; other columns, of any name, pass through untouched.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BASE = {
 NEEDED = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"\+[0-9]"}
 #: The generators of candidates.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}+){1,4}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{2,}+)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}+|[0-9]{4}[\x20.-][0-9]{6}[\x20.-][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00)?\(?[0-9]{1,4}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,5}+(?![0-9])",
@@ -267,28 +269,34 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def detect(documents: DataFrame) -> DataFrame:
-    """The documents with their base spans and all spans (arrays of kind, start, end in that order), each sorted."""
+def detect(documents: DataFrame) -> tuple[DataFrame, str, str]:
+    """The documents with their base spans and all spans (arrays of kind, start, end in that order), each sorted, and the names
+    of those two columns, which no other column has in any case of letters."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in documents.columns):
+        mark += "_"
     models = {k: fit(documents.sparkSession, k) for k in KINDS}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = documents.withColumns({f"__base_{k}": s for k, s in zip(KINDS, base_spans(text), strict=True)} | {f"__more_{k}": s for k, s in zip(KINDS, chosen_spans(text, models), strict=True)})
-    base = F.flatten(F.array(*[labelled(F.col(f"__base_{k}"), i) for i, k in enumerate(KINDS)]))
-    more = F.flatten(F.array(*[labelled(F.col(f"__more_{k}"), i) for i, k in enumerate(KINDS)]))
+    held = documents.withColumns({f"{mark}base_{k}": s for k, s in zip(KINDS, base_spans(text), strict=True)} | {f"{mark}more_{k}": s for k, s in zip(KINDS, chosen_spans(text, models), strict=True)})
+    base = F.flatten(F.array(*[labelled(F.col(f"{mark}base_{k}"), i) for i, k in enumerate(KINDS)]))
+    more = F.flatten(F.array(*[labelled(F.col(f"{mark}more_{k}"), i) for i, k in enumerate(KINDS)]))
     spans = F.array_sort(F.array_distinct(F.concat(base, more)))
-    return held.withColumns({"__base": base, "__spans": spans}).drop(*[f"__{w}_{k}" for w in ("base", "more") for k in KINDS])
+    held = held.withColumns({f"{mark}base": base, f"{mark}spans": spans}).drop(*[f"{mark}{w}_{k}" for w in ("base", "more") for k in KINDS])
+    return held, f"{mark}base", f"{mark}spans"
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, their digest, and all spans."""
-    found = detect(documents.select("doc_id", "text"))
-    counts = [F.size(F.filter("__base", partial(is_kind, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
+    found, base, spans = detect(documents.select("doc_id", "text"))
+    counts = [F.size(F.filter(base, partial(is_kind, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col(base)), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
 
 
 def redacted(documents: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans become one. n_chars follows."""
     text, names = F.col("text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found, _, spans = detect(documents)
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
@@ -297,8 +305,8 @@ def redacted(documents: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rebuilt = F.aggregate(by_start, zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    changed = detect(documents).withColumn("text", F.when(F.size("__spans") > 0, rebuilt).otherwise(text))
+    changed = found.withColumn("text", F.when(F.size(spans) > 0, rebuilt).otherwise(text))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        changed = changed.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return changed.select(*documents.columns)

@@ -5,7 +5,8 @@ more in the same text; their characters, and those of repeated lines, are measur
 pass without a shuffle: a text's figures depend on that text alone.
 
 Defined results: a null or empty text has no words, zero in all counts, and fails; a one-line text of any length is
-judged whole; repeated rows give repeated results; a null id stays null; other columns are ignored.
+judged whole; repeated rows give repeated results; an empty table gives no rows; a null id stays null; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -21,8 +21,8 @@ Texts are shuffled by document twice, for 3 and for the result; the rest travels
 by 64-bit hashes in 1, 2 and 4, and by their bytes in 3.
 
 Defined results: a null or empty text has no bytes; rows are ordered by doc_id, nulls first, and rows of one id by their
-text, each row counting as a document of its own; a text of any length is read in pieces that overlap by a window; other
-columns are ignored.
+text, each row counting as a document of its own; a text of any length is read in pieces that overlap by a window; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ collision of digests never decides. The list may hold any number of rules: it is
 URLs are neither shuffled nor joined.
 
 Defined results: a URL that is null or has no '://' has an empty host and path and no rule; where no rule fits, the
-verdict is `default`; a repeated rule keeps its last verdict; repeated rows give repeated results; other columns pass
-by unread.
+verdict is `default`; a repeated rule keeps its last verdict, so two rules that fit a URL never have one length of host and
+path each, and of those with one total length the longer host decides; URLs of any length are judged whole; repeated rows
+give repeated results; an empty table gives no rows, and without rules every URL gets the default; other columns pass by
+unread.
 """
 
 from __future__ import annotations

@@ -67,6 +67,11 @@ def test_redaction(rows):
     assert got[18] == "<EMAIL> <IP> <CARD> <PHONE>\n" * 300
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "mine", "own", 5)], "doc_id long, text string, __SPANS string, __base_email string, n_chars int")
+    assert [tuple(r) for r in pii.redacted(docs).collect()] == [(1, "<EMAIL>", "mine", "own", 7)]
+
+
 def test_held_out_recall_and_no_rows(spark, rows):
     for kind in pii.KINDS:
         assert pii.fit(spark, kind)[2] >= 0.9
