@@ -49,6 +49,8 @@ FOR = {
     "phone": r"(?i)tel|phone|call|mobile|cell|fax|contact|ring|whatsapp|sms",
 }
 AGAINST = r"(?i)order|invoice|isbn|issn|version|release|serial|sku|part no|id[:#]|ref|build|section|chapter|page|score|date|price|population"
+#: Values that are put in a row at once, and code points of a text's piece.
+BLOCK, PIECE = 512, 4096
 LABELLED, ROUNDS, RATE, PRECISION, SEED = 500, 25, 0.3, 0.98, 11
 FEATURES = ("digits", "length", "plus", "bracket", "marks", "luhn", "for", "against", "glued_left", "glued_right", "date", "octets", "groups")
 
@@ -93,19 +95,54 @@ def valid(kind: str, span: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """What `use` makes of a value that is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """What the associative `join` makes of 0, each value and all values before it. Appending copies an array, so blocks of
+    BLOCK values are done by themselves and put together."""
+
+    def sweep(part: Column) -> Column:
+        return F.aggregate(part, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, join(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)), x)))
+
+    def behind(acc: Column, part: Column) -> Column:
+        moved = F.transform(part, lambda x: join(acc["at"], x))
+        return F.struct(join(acc["at"], F.element_at(part, -1)).alias("at"), F.array_append(acc["parts"], moved).alias("parts"))
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(BLOCK)), lambda i: sweep(F.slice(v, i, BLOCK)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("parts"))
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(parts, zero, behind, lambda acc: F.flatten(acc["parts"])))
+
+    return let(values, whole)
+
+
+def cut(text: Column) -> Column:
+    """The text in pieces of PIECE code points, so that a place far behind is reached without walking there."""
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}+"), F.lit(0)))
+
+
+def part(pieces: Column, start: Column, n: Column) -> Column:
+    """The n code points from a start on of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.slice(pieces, first + 1, F.floor((start - first * PIECE + n) / PIECE).cast("int") + 1)
+    return F.array_join(held, "").substr(start - first * PIECE + 1, n)
+
+
 def matches(text: Column, pattern: str, needed: str) -> Column:
     """(start, end, match) of every leftmost non-overlapping match, in code points."""
     spans = "array<struct<start:int,end:int,match:string>>"
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans"))
+    steps = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("match"), (F.length(g) + F.coalesce(F.length(m), F.lit(0))).alias("n")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))).alias("spans"))
+    def placed(s: Column) -> Column:
+        ends = running(F.transform(s, lambda x: x["n"]), lambda a, b: a + b)
+        out = F.zip_with(s, ends, lambda x, end: F.struct((end - F.length(x["match"])).alias("start"), end.alias("end"), x["match"].alias("match")))
+        return F.filter(out, lambda x: x["match"].isNotNull())  # the last gap has no match behind it
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.when(text.rlike(needed), F.aggregate(pairs, zero, step, lambda acc: acc["spans"])).otherwise(F.array().cast(spans))
+    return F.when(text.rlike(needed), let(steps, placed)).otherwise(F.array().cast(spans))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -113,11 +150,15 @@ def base_spans(text: Column) -> list[Column]:
     return [F.filter(matches(text, BASE[k], NEEDED[k]), partial(valid, k)) for k in KINDS]
 
 
-def described(text: Column, kind: str, span: Column) -> list[Column]:
-    """The features of a candidate."""
-    match, digits = span["match"], digits_of(span["match"])
-    left = text.substr(F.greatest(F.lit(1), span["start"] - 23), F.least(F.lit(24), span["start"]))
-    right = text.substr(span["end"] + 1, F.lit(4))
+def in_context(pieces: Column, span: Column) -> Column:
+    """A span with the text to its left and right."""
+    n = F.least(F.lit(24), span["start"])
+    return F.struct(*[span[f].alias(f) for f in ("start", "end", "match")], part(pieces, span["start"] - n, n).alias("left"), part(pieces, span["end"], F.lit(4)).alias("right"))
+
+
+def described(kind: str, span: Column) -> list[Column]:
+    """The features of a candidate in its context."""
+    match, digits, left, right = span["match"], digits_of(span["match"]), span["left"], span["right"]
     flags = [
         match.startswith("+"), match.contains("("), luhn(digits), left.rlike(FOR[kind]), left.rlike(AGAINST), left.rlike(r"[\p{L}0-9#$€.,:/=_-]$"),
         right.rlike(r"^(?:[\p{L}0-9%€$_/-]|[.,][0-9])"), match.rlike(r"^(?:(?:19|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9]|[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)?[0-9]{2})$"), octets(match),
@@ -216,13 +257,14 @@ def fit(spark: SparkSession, kind: str) -> tuple[list, float, float]:
     """(trees, threshold, held-out recall) of a kind, from LABELLED texts described by the same expressions as any text."""
     texts = spark.createDataFrame(labelled_texts(kind, LABELLED), "text string, label int")
     spans = texts.select("text", "label", F.explode(matches(F.col("text"), WIDE[kind], WIDE_NEEDED[kind])).alias("s"))
-    table = np.array([[float(v) for v in r] for r in spans.select(*described(F.col("text"), kind, F.col("s")), "label").collect()])
+    spans = spans.select(in_context(cut(F.col("text")), F.col("s")).alias("s"), "label")
+    table = np.array([[float(v) for v in r] for r in spans.select(*described(kind, F.col("s")), "label").collect()])
     rows, labels = table[:, :-1], table[:, -1]
     held = np.arange(len(rows)) % 4 >= 2
     trees = boosted(rows[~held], labels[~held])
     margins = sum(scored(t, rows[held]) for t in trees)
-    cut = threshold(margins, labels[held])
-    return trees, cut, float((margins[labels[held] == 1] >= cut).mean())
+    least = threshold(margins, labels[held])
+    return trees, least, float((margins[labels[held] == 1] >= least).mean())
 
 
 def as_column(tree, features: list[Column]) -> Column:
@@ -232,22 +274,22 @@ def as_column(tree, features: list[Column]) -> Column:
     return F.when(features[f] <= cut, as_column(low, features)).otherwise(as_column(high, features))
 
 
-def picked(trees: list, cut: float, span: Column) -> Column:
+def picked(trees: list, least: float, span: Column) -> Column:
     """Whether the trees choose a described candidate."""
     features = [span["f"][i] for i in range(len(FEATURES))]
-    return reduce(lambda a, b: a + b, [as_column(t, features) for t in trees]) >= cut
+    return reduce(lambda a, b: a + b, [as_column(t, features) for t in trees]) >= least
 
 
-def with_features(text: Column, kind: str, span: Column) -> Column:
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.array(*described(text, kind, span)).alias("f"))
+def with_features(kind: str, span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"), F.array(*described(kind, span)).alias("f"))
 
 
-def chosen_spans(text: Column, models: dict[str, tuple[list, float, float]]) -> list[Column]:
-    """The candidates of each kind that its trees choose."""
+def chosen_spans(text: Column, pieces: Column, models: dict[str, tuple[list, float, float]]) -> list[Column]:
+    """The candidates of each kind that its trees choose, of a text that is also there in pieces."""
     out = []
     for kind in KINDS:
-        spans = F.transform(matches(text, WIDE[kind], WIDE_NEEDED[kind]), partial(with_features, text, kind))
-        out.append(F.filter(spans, partial(picked, *models[kind][:2])))
+        spans = F.transform(matches(text, WIDE[kind], WIDE_NEEDED[kind]), partial(in_context, pieces))
+        out.append(F.filter(F.transform(spans, partial(with_features, kind)), partial(picked, *models[kind][:2])))
     return out
 
 
@@ -269,25 +311,30 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def detect(documents: DataFrame) -> tuple[DataFrame, str, str]:
-    """The documents with their base spans and all spans (arrays of kind, start, end in that order), each sorted, and the names
-    of those two columns, which no other column has in any case of letters."""
+def once(spans: Column) -> Column:
+    """Sorted spans, each once."""
+    return let(F.sort_array(spans), lambda held: F.filter(held, lambda s, i: (i == 0) | (s != F.get(held, i - 1))))
+
+
+def detect(documents: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """The documents with their base spans and all spans (arrays of kind, start, end in that order), each sorted, and their texts
+    in pieces; and the names of those three columns, which no other column has in any case of letters."""
     mark = "__"
     while any(c.lower().startswith(mark) for c in documents.columns):
         mark += "_"
     models = {k: fit(documents.sparkSession, k) for k in KINDS}
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = documents.withColumns({f"{mark}base_{k}": s for k, s in zip(KINDS, base_spans(text), strict=True)} | {f"{mark}more_{k}": s for k, s in zip(KINDS, chosen_spans(text, models), strict=True)})
+    text, pieces = F.coalesce(F.col("text").cast("string"), F.lit("")), f"{mark}pieces"
+    held = documents.withColumn(pieces, cut(text))
+    held = held.withColumns({f"{mark}base_{k}": s for k, s in zip(KINDS, base_spans(text), strict=True)} | {f"{mark}more_{k}": s for k, s in zip(KINDS, chosen_spans(text, F.col(pieces), models), strict=True)})
     base = F.flatten(F.array(*[labelled(F.col(f"{mark}base_{k}"), i) for i, k in enumerate(KINDS)]))
     more = F.flatten(F.array(*[labelled(F.col(f"{mark}more_{k}"), i) for i, k in enumerate(KINDS)]))
-    spans = F.array_sort(F.array_distinct(F.concat(base, more)))
-    held = held.withColumns({f"{mark}base": base, f"{mark}spans": spans}).drop(*[f"{mark}{w}_{k}" for w in ("base", "more") for k in KINDS])
-    return held, f"{mark}base", f"{mark}spans"
+    held = held.withColumns({f"{mark}base": base, f"{mark}spans": once(F.concat(base, more))}).drop(*[f"{mark}{w}_{k}" for w in ("base", "more") for k in KINDS])
+    return held, f"{mark}base", f"{mark}spans", pieces
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, their digest, and all spans."""
-    found, base, spans = detect(documents.select("doc_id", "text"))
+    found, base, spans, _ = detect(documents.select("doc_id", "text"))
     counts = [F.size(F.filter(base, partial(is_kind, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col(base)), 256).alias("base_sha256"), joined(F.col(spans)).alias("spans"))
 
@@ -295,17 +342,20 @@ def personal_data(documents: DataFrame) -> DataFrame:
 def redacted(documents: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans become one. n_chars follows."""
     text, names = F.col("text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    found, _, spans = detect(documents)
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    found, _, spans, pieces = detect(documents)
+    by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def rebuilt(held: Column, reach: Column) -> Column:
+        def before(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(reach, i - 1), F.lit(0))
+            return F.when(s["start"] >= at, F.concat(part(F.col(pieces), at, s["start"] - at), F.get(names, s["kind"])))
+
+        return F.concat(F.array_join(F.transform(held, before), ""), part(F.col(pieces), F.element_at(reach, -1), F.length(text)))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        added = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, added).otherwise(acc["out"]).alias("out"))
+    def reached(held: Column) -> Column:
+        return let(running(F.transform(held, lambda s: s["end"]), F.greatest), partial(rebuilt, held))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(by_start, zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    changed = found.withColumn("text", F.when(F.size(spans) > 0, rebuilt).otherwise(text))
+    changed = found.withColumn("text", F.when(F.size(spans) > 0, let(by_start, reached)).otherwise(text))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -81,3 +81,12 @@ def test_held_out_recall_and_no_rows(spark, rows):
 def test_the_plan_has_no_python(rows):
     plan = pii.personal_data(rows)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange(?!.*REPARTITION)", plan.replace("RoundRobinPartitioning", "REPARTITION"))
+
+
+def test_blocks_and_pieces_change_nothing(rows, monkeypatch):
+    small = rows.where("length(text) < 20000 or text is null")
+    run = lambda: [sorted(map(str, f(small).collect())) for f in (pii.personal_data, pii.redacted)]
+    want = run()
+    monkeypatch.setattr(pii, "BLOCK", 7)
+    monkeypatch.setattr(pii, "PIECE", 11)
+    assert run() == want
