@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import keep
+from tarn.llm.common import discard, keep
 
 #: A key is hot with more rows than HOT and than this share of all rows, so at most 1 / HOT_SHARE keys are hot and broadcast.
 HOT, HOT_SHARE = 1000, 1e-5
@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     A round points the larger neighbours of every node to the least one, then every node's smaller neighbours to the
     least of them; rounds end when every node points to its component's least. Both halves are a minimum per node, partly
     aggregated by every task, and a join back in which hot nodes are broadcast, so the edges of a node of any degree stay
-    spread. Edges are written to the shared folder in each half. Loops and repeated edges are allowed; without edges there
+    spread. Edges are written to the shared folder in each half, and deleted when the next round's are there. Loops and repeated edges are allowed; without edges there
     are no nodes."""
     edges = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     total, mixed = _state(edges)
@@ -50,6 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: edges point to smaller nodes only
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = hub_join(large, least, "a", 2 * total).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = keep(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        before, edges = edges, keep(small.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        discard(before, large)
         total, mixed = _state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -25,8 +25,9 @@ counted by a shuffle, pivots split what is left into cells that are joined as re
 shrink is cut into blocks: those of its most frequent label meet the others' blocks but not each other.
 
 Signatures and shingles travel as binary blocks by hash buckets; a shingle goes there twice a block at most. Texts are read
-again for the members of regions only; nothing of all documents reaches the driver. Exact: similarity is tested on whole
-numbers, on 51-bit shingle hashes.
+again for the members of regions only; nothing of all documents reaches the driver. Intermediate tables are deleted when those
+made from them are stored, and a step's shuffle files when it ends, so that steps do not add up on disk. Exact: similarity is
+tested on whole numbers, on 51-bit shingle hashes.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text with fewer words than a
 shingle is one shingle; texts of any length are taken whole, in slices of whole texts; equal rows link with each other,
@@ -46,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import U64, Rolling, flat, free_name, keep, mixed, owners, repeated, slices, word_hashes, words
+from tarn.llm.common import U64, Rolling, discard, flat, free_name, keep, mixed, owners, repeated, slices, word_hashes, words
 from tarn.llm.components import components, hub_join
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -443,7 +444,10 @@ def pivot_links(sets: DataFrame, percent: int) -> DataFrame:
     pivots = pivots.select("pivot", "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
     follows = sets.join(pairs, "key").select("key", "shingles", "pivot", F.pmod(F.xxhash64("key"), F.col("copies")).alias("salt"))
     met = follows.join(pivots, ["pivot", "salt"]).withColumn("shared", F.size(F.array_intersect("shingles", "to")))
-    return met.where(100 * F.col("shared") >= percent * (F.size("shingles") + F.size("to") - F.col("shared"))).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    links = met.where(100 * F.col("shared") >= percent * (F.size("shingles") + F.size("to") - F.col("shared"))).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    links = keep(links, "links")
+    discard(dealt, pairs)
+    return links
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -563,7 +567,7 @@ def peeled(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def split(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sets in Voronoi cells as new regions, links (a, b) of labels with pivots' ones) of regions too large for a task.
+    """(sets in Voronoi cells as new regions, links (a, b) of labels with pivots' ones) of regions too large for a task, both kept.
 
     Such regions are few, so their sizes are broadcast; a region's pivots are copied for every SALTED of its sets."""
     radius = 1 - percent / 100
@@ -583,7 +587,10 @@ def split(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     rest = held.where(~F.array_contains("pivot", F.col("key")))
     cells = rest.select("region", "key", "label", "shingles", F.explode(F.arrays_zip("pivot", "distance")).alias("x"), F.array_min("distance").alias("nearest"))
     cells = cells.where(F.col("x.distance") <= F.col("nearest") + 2 * radius + 1e-9)
-    return cells.select(F.xxhash64("region", "x.pivot").alias("region"), "key", "label", "shingles"), links
+    cells = cells.select(F.xxhash64("region", "x.pivot").alias("region"), "key", "label", "shingles").dropDuplicates(["region", "key"])
+    cells, links = keep(cells, "cells"), keep(links, "links")
+    discard(held)
+    return cells, links
 
 
 def tiled(sets: DataFrame, most: int) -> DataFrame:
@@ -607,27 +614,32 @@ def oversize(sets: DataFrame) -> DataFrame:
 
 
 def large_regions(sets: DataFrame, large: DataFrame, percent: int) -> list[DataFrame]:
-    """Links of labels in regions of which some are too large for a task."""
+    """Links of labels in regions of which some are too large for a task, all kept."""
     links = []
     names = keep(large.select("region"), "large")
+    used = [names]
     done = [sets.join(F.broadcast(names), "region", "left_anti")]
     part = keep(peeled(sets.join(F.broadcast(names), "region", "left_semi"), percent), "peeled")
     for _ in range(3):
         cells, found = split(part, percent)
-        links.append(keep(found, "links"))
-        cells, before = keep(cells.dropDuplicates(["region", "key"]), "cells"), part
-        names = keep(oversize(cells).select("region"), "large")
+        links.append(found)
+        names, before = keep(oversize(cells).select("region"), "large"), part
         done.append(cells.join(F.broadcast(names), "region", "left_anti"))
         part = keep(cells.join(F.broadcast(names), "region", "left_semi"), "cells")
-        if part.isEmpty() or part.count() > 0.7 * before.count():
+        used += [cells, names]
+        over = part.isEmpty() or part.count() > 0.7 * before.count()
+        discard(before)
+        if over:
             break
     done.append(tiled(part, MAX_SETS))
-    return links + [joined_regions(part, percent) for part in done]
+    links += [keep(joined_regions(x, percent), "links") for x in done]
+    discard(part, *used)
+    return links
 
 
 def linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, Keys]:
     """(doc_id, n, key of every row; key, least doc_id and number of rows n of every set; key and label of sets that may have
-    links; the naming of sets).
+    links; the naming of sets). The tables are kept, with a few more columns.
 
     Linked sets have one label, the least key of their component."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -638,18 +650,24 @@ def linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     shared = [r.key for r in sizes.where("several").select("key").collect()]
     named = Keys(shared)
     if shared:
-        meta = meta.withColumn("key", F.when(F.col("key").isin(shared), F.col("key").bitwiseXOR(F.col("other"))).otherwise(F.col("key")))
+        first = meta, sizes
+        meta = keep(meta.withColumn("key", F.when(F.col("key").isin(shared), F.col("key").bitwiseXOR(F.col("other"))).otherwise(F.col("key"))), "sets")
         sizes = keep(by_key(meta), "sets")
+        discard(*first)
     members = keep(may_match(sizes, own_shingles(rows, n, SHARE, named), F.col("size"), percent).select("doc_id", "key"), "members")
     sets = keep(member_sets(rows, members, n, named), "members")
+    discard(members)
     left = sets.count()
     for _ in range(ROUNDS):  # what only the sets put aside shared is now a set's own
-        sets = keep(may_match(sets, own_shingles(sets, n, 1.0, named), F.size("shingles"), percent), "members")
+        last, sets = sets, keep(may_match(sets, own_shingles(sets, n, 1.0, named), F.size("shingles"), percent), "members")
+        discard(last)
         before, left = left, sets.count()
         if left > 0.9 * before:
             break
-    labels = components(pivot_links(sets, percent)).withColumnRenamed("node", "key")
-    sets = keep(sets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "members")
+    near = pivot_links(sets, percent)
+    labels = components(near).withColumnRenamed("node", "key")
+    last, sets = sets, keep(sets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "members")
+    discard(near, last)
     counts = keep(sets.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "labels")
     regions = components(signature_edges(sets, percent)).toDF("label", "region")
     regions = keep(counts.join(regions, "label"), "regions")
@@ -660,9 +678,11 @@ def linked(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     for more in links[1:]:
         edges = edges.unionAll(more)
     joined = components(edges).toDF("label", "to")
+    discard(inside, regions, *links)
     ends = keep(counts.join(joined, "label", "left").withColumn("to", F.coalesce("to", "label")), "labels")
     found = keep(hub_join(sets.select("key", "label"), ends, "label", left).select("key", F.col("to").alias("label")), "labels")
-    return meta.select("doc_id", "n", "key"), sizes.select("key", "doc_id", "n"), found, named
+    discard(sets, counts, ends)
+    return meta, sizes, found, named
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -702,6 +722,7 @@ def distinct_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     stays = sets.groupBy("label").agg(F.min(ranked).alias("s")).select(F.col("s.doc_id").alias("sd"), F.col("s.key").alias("sk"))
     goes = keep(sets.join(stays, sets.doc_id.eqNullSafe(stays.sd) & (sets.key == stays.sk), "left_anti").select("doc_id", "key"), "goes")
     again = keep(sets.where("n > 1").select("doc_id", "key"), "again")
+    discard(meta, sizes, labels, hubs, sets)
     name, match_id, match_key = (free_name(documents.columns, x) for x in ("set_key", "match_id", "match_key"))
     marked = keyed(documents, n, name, named)
 

@@ -1,5 +1,9 @@
 import random
 import re
+import time
+from collections import Counter
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import components as components_module
 from tarn.llm import jaccard as J
+from tarn.llm.common import CLEANUP, discard, keep, shared_root
 from tarn.llm.components import components
 
 
@@ -183,3 +188,40 @@ def test_components(spark):
             parent[max(root(a), root(b))] = min(root(a), root(b))
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_intermediate_tables_go(spark, monkeypatch):
+    """Of a join's tables only the names of what goes and comes again are left, and edges."""
+    monkeypatch.setattr(J, "ROUNDS", 1)
+    root = Path(urlsplit(shared_root(spark)).path)
+    tables = set(root.iterdir())
+    docs = spark.createDataFrame(copies(3), "doc_id long, text string").repartition(3)
+    out = J.distinct_documents(docs)
+    kinds = Counter(x.name.split("-")[0] for x in set(root.iterdir()) - tables)
+    assert set(kinds) == {"goes", "again", "edges"} and kinds["edges"] <= 3
+    assert 0 < out.count() < docs.count()
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    """Whatever the garbage collector does; the session's own setting stays."""
+    setting, before = spark.conf.get(CLEANUP), shuffle_files(spark)
+    kept = [keep(spark.range(1000).repartition(2, "id").groupBy(F.col("id") % 7).count(), "test") for _ in range(3)]
+    until = time.monotonic() + 10
+    while (left := shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP) == setting
+    discard(*kept)
+
+
+def test_discard_leaves_other_frames_alone(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "own"))
+    own, kept = spark.read.parquet(str(tmp_path / "own")), keep(spark.range(7), "test")
+    at = Path(urlsplit(kept._kept_at).path)
+    assert kept.count() == 7 and at.exists()
+    discard(own, kept, kept)
+    assert own.count() == 5 and not at.exists()
