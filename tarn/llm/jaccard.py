@@ -21,8 +21,8 @@ bound parts them. So sets without a partner leave first, and pivots work on thos
    sets are compared under the windows that all pivots' distances leave.
 
 A region larger than MAX_SETS or MAX_ELEMENTS is cut across tasks first, by the same steps as DataFrames: own shingles are
-counted by a shuffle, pivots split what is left into cells that are joined as regions of their own. A cell that does not
-shrink is cut into blocks: those of its most frequent label meet the others' blocks but not each other.
+counted by a shuffle, pivots split what is left into cells that are joined as regions of their own. Cells that would
+hold most sets several times are not made; these sets, and a cell that does not shrink, are cut into blocks: those of its most frequent label meet the others' blocks but not each other.
 
 Signatures and shingles travel as binary blocks by hash buckets; a shingle goes there twice a block at most. Texts are read
 again for the members of regions only; nothing of all documents reaches the driver. Intermediate tables are deleted when those
@@ -59,6 +59,8 @@ FLUSH, SEEN = 1 << 20, 1 << 20
 #: The share of all shingles in which own ones are counted first, and how often the rest is counted anew.
 SHARE, ROUNDS = 0.375, 3
 MAX_SETS, MAX_ELEMENTS, PIVOTS = 20_000, 4_000_000, 16
+#: Cells that hold so many times a large region's sets do not part it.
+MOST_COPIES = 1.5
 #: Buckets, and so pivots, of a set; the sets that meet one copy of a pivot.
 MINIMA, SALTED = 4, 1000
 #: Fewer only in a test of equal keys.
@@ -566,8 +568,9 @@ def peeled(sets: DataFrame, percent: int) -> DataFrame:
     return sets.join(own, ["region", "key"], "left").where(100 * (size - F.coalesce("own", F.lit(0))) >= percent * size).drop("own")
 
 
-def split(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def split(sets: DataFrame, percent: int, most: float) -> tuple[DataFrame | None, DataFrame]:
     """(sets in Voronoi cells as new regions, links (a, b) of labels with pivots' ones) of regions too large for a task, both kept.
+    None for the cells if they would hold more than `most` sets: far from its pivots a set goes to every cell, and nothing is parted.
 
     Such regions are few, so their sizes are broadcast; a region's pivots are copied for every SALTED of its sets."""
     radius = 1 - percent / 100
@@ -585,6 +588,11 @@ def split(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     held = keep(with_distance.select("region", "key", "label", "shingles", "pivot", "pivot_label", "distance", "linked"), "cells")
     links = held.select("label", F.explode(F.arrays_zip("pivot_label", "linked")).alias("x")).where("x.linked and x.pivot_label <> label").select(F.col("label").alias("a"), F.col("x.pivot_label").alias("b")).distinct()
     rest = held.where(~F.array_contains("pivot", F.col("key")))
+    near = F.size(F.filter("distance", lambda d: d <= F.array_min("distance") + 2 * radius + 1e-9))
+    if (rest.agg(F.sum(near)).first()[0] or 0) > most:
+        links = keep(links, "links")
+        discard(held)
+        return None, links
     cells = rest.select("region", "key", "label", "shingles", F.explode(F.arrays_zip("pivot", "distance")).alias("x"), F.array_min("distance").alias("nearest"))
     cells = cells.where(F.col("x.distance") <= F.col("nearest") + 2 * radius + 1e-9)
     cells = cells.select(F.xxhash64("region", "x.pivot").alias("region"), "key", "label", "shingles").dropDuplicates(["region", "key"])
@@ -620,9 +628,18 @@ def large_regions(sets: DataFrame, large: DataFrame, percent: int) -> list[DataF
     used = [names]
     done = [sets.join(F.broadcast(names), "region", "left_anti")]
     part = keep(peeled(sets.join(F.broadcast(names), "region", "left_semi"), percent), "peeled")
+    size = part.count()
+    for _ in range(ROUNDS):  # what only the sets put aside shared is now a set's own
+        last, before, part = part, size, keep(peeled(part, percent), "peeled")
+        discard(last)
+        size = part.count()
+        if size > 0.9 * before:
+            break
     for _ in range(3):
-        cells, found = split(part, percent)
+        cells, found = split(part, percent, MOST_COPIES * part.count())
         links.append(found)
+        if cells is None:  # the blocks below are cut from the sets themselves, not from a copy for each cell
+            break
         names, before = keep(oversize(cells).select("region"), "large"), part
         done.append(cells.join(F.broadcast(names), "region", "left_anti"))
         part = keep(cells.join(F.broadcast(names), "region", "left_semi"), "cells")

@@ -225,3 +225,18 @@ def test_discard_leaves_other_frames_alone(spark, tmp_path):
     assert kept.count() == 7 and at.exists()
     discard(own, kept, kept)
     assert own.count() == 5 and not at.exists()
+
+
+def test_cells_that_do_not_part_are_not_made(spark, monkeypatch):
+    """Sets far from all pivots are not copied to every cell, and all links are found."""
+    monkeypatch.setattr(J, "MAX_SETS", 40)
+    draw, data = random.Random(8), []
+    for i in range(60):  # pairs that share 9 of 10 words and, with the others, few
+        own = draw.sample(range(400), 30)
+        data += [(1, 2 * i, 2 * i, sorted(own)), (1, 2 * i + 1, 2 * i + 1, sorted(own[:-1]))]
+    sets = spark.createDataFrame(data, "region long, key long, label long, shingles array<long>")
+    cut, tiled = [], J.tiled
+    monkeypatch.setattr(J, "tiled", lambda part, most: cut.append(part.count()) or tiled(part, most))
+    links = J.large_regions(sets, J.oversize(sets), 80)
+    got = {(max(r), min(r)) for x in links for r in x.where("a <> b").collect()}
+    assert got == {(2 * i + 1, 2 * i) for i in range(60)} and cut[0] <= len(data)
